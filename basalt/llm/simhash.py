@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import column_bytes, parts, ship, stored, table, taken, wanted
+from basalt.llm.common import column_bytes, parts, ship, stored, table, taken, text_key, wanted
 from basalt.llm.components import components
 
 SHINGLE = 3
@@ -68,13 +68,14 @@ def fingerprint(text: bytes) -> int:
 def _print_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.fromiter((fingerprint(x) for x in column_bytes(batch, "text")), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([taken(batch, "doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([taken(batch, "doc_id"), taken(batch, "text_key"), pa.array(prints.view(np.int64))], ["doc_id", "text_key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, text_key, fp): the fingerprint as a signed long."""
     ship(docs.sparkSession)
-    return wanted(docs, doc_id="bigint", text="string").mapInArrow(_print_batches, "doc_id bigint, fp bigint")
+    rows = wanted(docs, doc_id="bigint", text="string").withColumn("text_key", text_key())
+    return rows.mapInArrow(_print_batches, "doc_id bigint, text_key bigint, fp bigint")
 
 
 def ring_keys(fp: str) -> list:
@@ -180,17 +181,36 @@ def links(prints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_link_batches, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id): component_id is the least doc_id that links reach."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stored rows (doc_id, fp and what else ``fingerprints`` passes), and fp's component: (known, root, component_id)."""
     marked, _ = stored(fingerprints(docs), "prints")
     reps = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots, _ = components(links(reps.select("fp")))
     named = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     whole = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = named.select("fp", "root").join(whole, "root").select(F.col("fp").alias("known"), "component_id")
+    return marked, named.select(F.col("fp").alias("known"), "root").join(whole, "root")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id): component_id is the least doc_id that links reach."""
+    marked, known = _grouped(docs)
     out = marked.join(known, F.col("fp") == F.col("known"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, one of each component: the least id, known ids first, then the least text key.
+
+    Rows repeated with one id and one text are one.
+    """
+    own = [F.coalesce("doc_id", F.lit(-(1 << 63))), text_key()]
+    marked, known = _grouped(docs)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("kept_id"), F.col("text_key").alias("kept_key")))
+    kept = marked.join(known, F.col("fp") == F.col("known")).groupBy("root").agg(best.alias("best")).select("best.kept_id", "best.kept_key")
+    rows = docs.withColumns({"__id": own[0], "__key": own[1]})
+    met = rows.join(kept, (F.col("__id") == F.col("kept_id")) & (F.col("__key") == F.col("kept_key")), "left_semi")
+    return met.dropDuplicates(["__id", "__key"]).select(*docs.columns)
+
+
 def op1_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
