@@ -41,7 +41,7 @@ from basalt.llm.common import column_bytes, new_path, parts, ship, table, taken,
 WINDOW = 35
 ROWS = 2
 MAX_CELLS = 1 << 30
-CHUNK_WORDS = 2_000_000
+CHUNK_WORDS = 1_000_000
 SKETCH_SHARDS = 64
 _MASK = (1 << 64) - 1
 # Odd multipliers of the two polynomial hashes, and of the finishing mix.
@@ -61,7 +61,7 @@ class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh64_intdigest(word, 0)
         if len(word) <= 64:
-            if len(self) >= 500_000:
+            if len(self) >= 200_000:
                 self.clear()
             self[word] = h
         return h
@@ -285,8 +285,16 @@ def hash_shard(name: str, shards: int) -> int:
     return xxhash.xxh64_intdigest(name.encode(), 0) % shards
 
 
+def _release() -> None:
+    """A worker that goes on to later stages lets go of what only the scans need."""
+    _loaded.clear()
+    _powers.clear()
+    _hash_of.clear()
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by key range: the positions whose key occurs elsewhere, back to their chunks; kind 1 passes through."""
+    _release()
 
     def close(held: list[tuple[str, bytes, bytes]]) -> list[tuple]:
         keys, many, at = [], [], []
@@ -357,6 +365,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    _release()
     for batch in batches:
         out = []
         for doc_id, text, spans in zip(taken(batch, "doc_id").to_pylist(), column_bytes(batch, "text"), taken(batch, "spans").to_pylist(), strict=True):
