@@ -1,0 +1,295 @@
+"""Scalar functions whose semantics differ from the built-in of the same name, or that have none."""
+
+from __future__ import annotations
+
+import re
+from decimal import ROUND_HALF_EVEN, Decimal
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_SPECIAL = set(".^$|()[]{}*+?\\")
+
+
+def similar_pattern(pattern: str, escape: str | None = None) -> str:
+    """A SIMILAR TO pattern as a regular expression for a whole match."""
+    out, i, in_class = [], 0, False
+    classes = {"ALPHA": "a-zA-Z", "UPPER": "A-Z", "LOWER": "a-z", "DIGIT": "0-9", "ALNUM": "a-zA-Z0-9", "SPACE": " ", "WHITESPACE": "\\s"}
+    while i < len(pattern):
+        c = pattern[i]
+        if escape and c == escape:
+            i += 1
+            out.append(re.escape(pattern[i]))
+        elif in_class:
+            m = re.compile(r"\[:(\w+):\]").match(pattern, i)
+            if m:
+                out.append(classes[m[1].upper()])
+                i = m.end() - 1
+            else:
+                in_class = c != "]"
+                out.append("\\" + c if c in "[\\&" else c)
+        elif c == "[":
+            in_class = True
+            out.append(c)
+        elif c in "%_":
+            out.append("[\\s\\S]*" if c == "%" else "[\\s\\S]")
+        elif c in "|*+?(){}":
+            out.append("(?:" if c == "(" else c)
+        else:
+            out.append("\\" + c if c in _SPECIAL else c)
+        i += 1
+    return "".join(out)
+
+
+def similar_to(text: Column, pattern: str, escape: str | None = None) -> Column:
+    return text.rlike(f"^(?:{similar_pattern(pattern, escape)})$")
+
+
+def substring_similar(text: Column, pattern: str, escape: str) -> Column:
+    """SUBSTRING(text SIMILAR a#"b#"c ESCAPE #): what the middle part matches."""
+    first, middle, last = pattern.split(escape + '"')
+    regex = f"^({similar_pattern(first, escape)})({similar_pattern(middle, escape)})({similar_pattern(last, escape)})$".replace("[\\s\\S]*)", "[\\s\\S]*?)", 1)
+    return F.when(text.rlike(regex), F.regexp_extract(text, regex, 2))
+
+
+def containing(text: Column, part: Column, any_case: bool = True) -> Column:
+    return F.lower(text).contains(F.lower(part)) if any_case else text.contains(part)
+
+
+def trim_text(text: Column, part: str = " ", side: str = "both") -> Column:
+    """TRIM removes whole repeats of a text, not a set of characters."""
+    q = re.escape(part)
+    if side in ("both", "leading"):
+        text = F.regexp_replace(text, f"^(?:{q})+", "")
+    return F.regexp_replace(text, f"(?:{q})+$", "") if side in ("both", "trailing") else text
+
+
+def trim_set(text: Column, chars: str = " ", side: str = "both") -> Column:
+    """BTRIM, LTRIM, RTRIM: characters of a set."""
+    q = "[" + "".join(re.escape(c) if c not in "^]" else "\\" + c for c in chars) + "]+"
+    if side in ("both", "leading"):
+        text = F.regexp_replace(text, "^" + q, "")
+    return F.regexp_replace(text, q + "$", "") if side in ("both", "trailing") else text
+
+
+def decode(value: Column, *pairs, default=None) -> Column:
+    """DECODE compares as = does: null matches nothing."""
+    out = F.lit(default)
+    for search, result in reversed(list(zip(pairs[::2], pairs[1::2], strict=True))):
+        out = F.when(value == F.lit(search), F.lit(result)).otherwise(out)
+    return out
+
+
+def max_value(*cols: Column) -> Column:
+    """Null if any argument is; greatest() skips nulls."""
+    return F.when(_any_null(cols), None).otherwise(F.greatest(*cols))
+
+
+def min_value(*cols: Column) -> Column:
+    return F.when(_any_null(cols), None).otherwise(F.least(*cols))
+
+
+def _any_null(cols) -> Column:
+    out = F.lit(False)
+    for c in cols:
+        out = out | c.isNull()
+    return out
+
+
+def trunc_number(x: Column, scale: int = 0) -> Column:
+    """Towards zero, by decimal arithmetic."""
+    shift = F.lit(Decimal(10) ** abs(scale)).cast("decimal(20,0)")
+    d = x.cast("decimal(38,10)")
+    cut = F.floor(F.abs(d) * shift) / shift if scale >= 0 else F.floor(F.abs(d) / shift) * shift
+    return (F.signum(x) * cut.cast("double")).cast("double")
+
+
+def int_div(a: Column, b: Column) -> Column:
+    """Integer division, towards zero."""
+    return ((a - a % b) / b).cast("bigint")
+
+
+def unicode_char(code: Column) -> Column:
+    """The character of a code point, beyond 255 too."""
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
+
+
+def unicode_val(text: Column) -> Column:
+    return F.ascii(text)
+
+
+def blob_append(*parts: Column) -> Column:
+    """Nulls are skipped; null if all are."""
+    return F.when(F.coalesce(*parts).isNotNull(), F.concat_ws("", *parts))
+
+
+def datediff(unit: str, a: Column, b: Column) -> Column:
+    """Unit boundaries between two times, not complete units."""
+    unit = unit.lower()
+    months = (F.year(b) * 12 + F.month(b)) - (F.year(a) * 12 + F.month(a))
+    if unit == "month":
+        return months.cast("bigint")
+    if unit == "year":
+        return (F.year(b) - F.year(a)).cast("bigint")
+    if unit == "quarter":
+        return ((F.year(b) * 4 + F.quarter(b)) - (F.year(a) * 4 + F.quarter(a))).cast("bigint")
+    if unit in ("day", "week"):
+        days = F.datediff(F.date_trunc(unit, b), F.date_trunc(unit, a))
+        return (days if unit == "day" else (days / 7)).cast("bigint")
+    seconds = {"hour": 3600, "minute": 60, "second": 1}
+    if unit == "millisecond":
+        return F.timestamp_diff("MILLISECOND", F.date_trunc("millisecond", a), F.date_trunc("millisecond", b))
+    return (F.timestamp_diff("SECOND", F.date_trunc(unit, a), F.date_trunc(unit, b)) / seconds[unit]).cast("bigint")
+
+
+def extract(part: str, x: Column, weekday_base: int = 0, yearday_base: int = 0) -> Column:
+    """WEEKDAY counts from Sunday and YEARDAY from the first of January, both from 0 unless said."""
+    part = part.upper()
+    if part == "WEEKDAY":
+        return F.dayofweek(x) - 1 + weekday_base
+    if part == "YEARDAY":
+        return F.dayofyear(x) - 1 + yearday_base
+    if part == "MILLISECOND":
+        return (F.date_part(F.lit("SECOND"), x).cast("decimal(18,6)") * 1000 % 1000).cast("int")
+    if part == "SECOND":
+        return F.second(x)
+    return F.date_part(F.lit(part), x).cast("int")
+
+
+def first_day(unit: str, x: Column) -> Column:
+    """FIRST_DAY(OF unit FROM x); a week starts on Sunday."""
+    if unit.lower() == "week":
+        return F.date_sub(x.cast("date"), F.dayofweek(x) - 1)
+    return F.trunc(x, unit)
+
+
+def last_day(unit: str, x: Column) -> Column:
+    if unit.lower() == "week":
+        return F.date_add(x.cast("date"), 7 - F.dayofweek(x))
+    months = {"month": 1, "quarter": 3, "year": 12}[unit.lower()]
+    return F.date_sub(F.add_months(F.trunc(x, unit), months), 1)
+
+
+# The format patterns, longest first, each with its expression's name.
+_PATTERNS = "YEAR YYYYY YYYY YYY YY Y Q MONTH MON MM RM WW W DAY DY DDD DD D J HH24 HH12 HH MI SSSSS SS FF1 FF2 FF3 FF4 FF5 FF6 FF7 FF8 FF9 TZH TZM TZR A.M. P.M. AM PM".split()
+_ORDERED = sorted(_PATTERNS, key=len, reverse=True)
+
+
+def format_tokens(pattern: str) -> list[tuple[str, str]]:
+    """('raw', text) and ('p', pattern) parts; the longest pattern wins, quoted text is raw."""
+    out, i = [], 0
+    while i < len(pattern):
+        if pattern[i] == '"':
+            end = pattern.index('"', i + 1)
+            out.append(("raw", pattern[i + 1 : end]))
+            i = end + 1
+            continue
+        found = next((p for p in _ORDERED if pattern[i : i + len(p)].upper() == p), None)
+        out.append(("p", found) if found else ("raw", pattern[i]))
+        i += len(found) if found else 1
+    return out
+
+
+def format_datetime(x: Column, pattern: str) -> Column:
+    """CAST(x AS VARCHAR FORMAT pattern)."""
+    d = lambda f: F.date_format(x, f)
+    roman = F.element_at(F.array(*(F.lit(r) for r in "I II III IV V VI VII VIII IX X XI XII".split())), F.month(x))
+    seconds = (F.hour(x) * 3600 + F.minute(x) * 60 + F.second(x)).cast("string")
+    fraction = F.date_format(x, "SSSSSS")
+    known = {
+        "YEAR": d("yyyy"), "YYYY": d("yyyy"), "YYYYY": d("yyyyy"), "YYY": F.right(d("yyyy"), F.lit(3)), "YY": d("yy"), "Y": F.right(d("yyyy"), F.lit(1)),
+        "Q": F.quarter(x).cast("string"), "MM": d("MM"), "MON": F.upper(d("MMM")), "MONTH": F.upper(d("MMMM")), "RM": roman,
+        "WW": F.lpad((F.floor((F.dayofyear(x) - 1) / 7) + 1).cast("string"), 2, "0"), "W": (F.floor((F.dayofmonth(x) - 1) / 7) + 1).cast("string"),
+        "D": F.dayofweek(x).cast("string"), "DAY": F.upper(d("EEEE")), "DY": F.upper(d("EEE")), "DD": d("dd"), "DDD": d("DDD"),
+        "J": (F.datediff(x, F.lit("1970-01-01").cast("date")) + 2440588).cast("string"),
+        "HH": d("hh"), "HH12": d("hh"), "HH24": d("HH"), "MI": d("mm"), "SS": d("ss"), "SSSSS": seconds,
+        "AM": F.upper(d("a")), "PM": F.upper(d("a")), "A.M.": F.when(F.hour(x) < 12, "A.M.").otherwise("P.M."), "P.M.": F.when(F.hour(x) < 12, "A.M.").otherwise("P.M."),
+    }
+    known |= {f"FF{n}": F.rpad(F.substring(fraction, 1, n), n, "0") for n in range(1, 10)}
+    known |= {"TZH": F.lit("+00"), "TZM": F.lit("00"), "TZR": F.lit("UTC")}
+    return F.concat(*(F.lit(v) if k == "raw" else known[v] for k, v in format_tokens(pattern)), F.lit(""))
+
+
+_PARSED = {"YYYY": (r"(\d{4})", "y"), "YEAR": (r"(\d{4})", "y"), "RR": (r"(\d{2})", "rr"), "RRRR": (r"(\d{4})", "y"), "MM": (r"(\d{1,2})", "mo"), "MON": (r"([A-Za-z]{3})", "mon"), "DD": (r"(\d{1,2})", "d"), "HH24": (r"(\d{1,2})", "h"), "HH12": (r"(\d{1,2})", "h12"), "HH": (r"(\d{1,2})", "h12"), "MI": (r"(\d{1,2})", "mi"), "SS": (r"(\d{1,2})", "s"), "AM": (r"([AaPp][Mm])", "half"), "PM": (r"([AaPp][Mm])", "half")}
+
+
+def parse_datetime(text: Column, pattern: str, this_year: int) -> Column:
+    """CAST(text AS TIMESTAMP FORMAT pattern); RR is the year of two digits nearest by the 50 rule to ``this_year``."""
+    regex, at, i, groups = "", {}, 0, 0
+    while i < len(pattern):
+        name = next((p for p in sorted(_PARSED, key=len, reverse=True) if pattern[i : i + len(p)].upper() == p), None)
+        if name:
+            groups += 1
+            regex += _PARSED[name][0]
+            at[_PARSED[name][1]] = groups
+            i += len(name)
+        else:
+            regex += re.escape(pattern[i])
+            i += 1
+    part = lambda k, default: F.regexp_extract(text, f"^{regex}$", at[k]).cast("int") if k in at else F.lit(default)
+    year = part("y", this_year)
+    if "rr" in at:
+        two, century, low = part("rr", 0), this_year // 100 * 100, this_year % 100 < 50
+        year = F.when(two < 50, two + (century if low else century + 100)).otherwise(two + (century - 100 if low else century))
+    month = part("mo", 1)
+    if "mon" in at:
+        month = F.array_position(F.array(*(F.lit(m) for m in "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split())), F.upper(F.regexp_extract(text, f"^{regex}$", at["mon"]))).cast("int")
+    hour = part("h", 0)
+    if "h12" in at:
+        late = F.upper(F.regexp_extract(text, f"^{regex}$", at["half"])) == "PM" if "half" in at else F.lit(False)
+        hour = part("h12", 0) % 12 + F.when(late, 12).otherwise(0)
+    return F.when(text.rlike(f"^{regex}$"), F.make_timestamp_ntz(year, month, part("d", 1), hour, part("mi", 0), part("s", 0).cast("decimal(16,6)")))
+
+
+def json_merge(*docs: Column) -> Column:
+    """Shallow: later keys win."""
+    out = F.from_json(docs[0], "map<string,string>")
+    for d in docs[1:]:
+        late = F.from_json(d, "map<string,string>")
+        out = F.map_concat(F.map_filter(out, lambda k, v, late=late: ~F.map_contains_key(late, k)), late)
+    return F.to_json(out)
+
+
+def json_set(doc: Column, key: str, value: Column) -> Column:
+    """Sets a key of the top level."""
+    return json_merge(doc, F.to_json(F.create_map(F.lit(key), value.cast("string"))))
+
+
+def json_valid(text: Column) -> Column:
+    return F.try_parse_json(text).isNotNull()
+
+
+def char_to_uuid(text: Column) -> Column:
+    return F.unhex(F.replace(text, F.lit("-"), F.lit("")))
+
+
+def uuid_to_char(value: Column) -> Column:
+    h = F.hex(value)
+    return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+
+
+@F.udf("string")
+def quantize(value: str | None, like: str | None) -> str | None:
+    """QUANTIZE on decimal floating point, by decimal arithmetic in Python."""
+    if value is None or like is None:
+        return None
+    return str(Decimal(value).quantize(Decimal(like), rounding=ROUND_HALF_EVEN))
+
+
+@F.udf("string")
+def normalize_decfloat(value: str | None) -> str | None:
+    return None if value is None else str(Decimal(value).normalize())
+
+
+@F.udf("int")
+def compare_decfloat(a: str | None, b: str | None) -> int | None:
+    """0 equal, 1 less, 2 greater, 3 unordered."""
+    if a is None or b is None:
+        return None
+    x, y = Decimal(a), Decimal(b)
+    return 3 if x.is_nan() or y.is_nan() else 0 if x == y else 1 if x < y else 2
+
+
+@F.udf("int")
+def total_order(a: str | None, b: str | None) -> int | None:
+    return None if a is None or b is None else int(Decimal(a).compare_total(Decimal(b)))
