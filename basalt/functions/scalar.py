@@ -241,12 +241,16 @@ def parse_datetime(text: Column, pattern: str, this_year: int) -> Column:
     return F.when(text.rlike(f"^{regex}$"), F.make_timestamp_ntz(year, month, part("d", 1), hour, part("mi", 0), part("s", 0).cast("decimal(16,6)")))
 
 
+def _without(entries: Column, others: Column) -> Column:
+    return F.map_filter(entries, lambda k, v: ~F.map_contains_key(others, k))
+
+
 def json_merge(*docs: Column) -> Column:
     """Shallow: later keys win."""
     out = F.from_json(docs[0], "map<string,string>")
     for d in docs[1:]:
         late = F.from_json(d, "map<string,string>")
-        out = F.map_concat(F.map_filter(out, lambda k, v, late=late: ~F.map_contains_key(late, k)), late)
+        out = F.map_concat(_without(out, late), late)
     return F.to_json(out)
 
 

@@ -232,15 +232,24 @@ def array_sum(a: Column, zero: Column) -> Column:
     return F.aggregate(a, zero, lambda s, x: s + F.coalesce(x, zero))
 
 
-# --- text vectors: map<lexeme, array<position>>; the query as a tree
+# --- text vectors: array<struct<lexeme, position>> in page order; the query as a tree
 
 
 def tsvector(text: Column, stop: tuple[str, ...] = ()) -> Column:
     """Words in lower case with their positions from 1; configuration "simple" with a stop list."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("p")))
-    kept = F.filter(placed, lambda x: ~x["w"].isin(*stop)) if stop else placed
-    return F.map_from_entries(F.transform(F.array_distinct(F.transform(kept, lambda x: x["w"])), lambda w: F.struct(w, F.transform(F.filter(kept, lambda x: x["w"] == w), lambda x: x["p"]))))
+    placed = F.transform(words, lambda w, i: F.struct(w.alias("lexeme"), (i + 1).alias("position")))
+    return F.filter(placed, lambda x: ~x["lexeme"].isin(*stop)) if stop else placed
+
+
+def lexemes(docs: DataFrame, key: str, text: str, stop: tuple[str, ...] = ()) -> DataFrame:
+    """(key, lexeme, positions): the rows of an inverted index."""
+    rows = docs.select(key, F.explode(tsvector(F.col(text), stop)).alias("x")).select(key, "x.lexeme", "x.position")
+    return rows.groupBy(key, "lexeme").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+
+
+def _positions(vector: Column, lexeme: str) -> Column:
+    return F.transform(F.filter(vector, lambda x: x["lexeme"] == lexeme), lambda x: x["position"])
 
 
 class TsQuery:
@@ -317,7 +326,7 @@ def phraseto_tsquery(text: str) -> TsQuery:
 def ts_matches(vector: Column, query: TsQuery) -> Column:
     def places(t) -> Column:
         if isinstance(t, str):
-            return F.coalesce(F.try_element_at(vector, F.lit(t)), F.array().cast("array<int>"))
+            return _positions(vector, t)
         if t[0] != "<>":
             raise ValueError("a phrase is made of words")
         ahead = places(t[1])
@@ -325,7 +334,7 @@ def ts_matches(vector: Column, query: TsQuery) -> Column:
 
     def holds(t) -> Column:
         if isinstance(t, str):
-            return F.map_contains_key(vector, t)
+            return F.exists(vector, lambda x: x["lexeme"] == t)
         if t[0] == "!":
             return ~holds(t[1])
         if t[0] == "<>":
@@ -337,8 +346,8 @@ def ts_matches(vector: Column, query: TsQuery) -> Column:
 
 def ts_rank(vector: Column, query: TsQuery) -> Column:
     """Occurrences of the query's words over all occurrences."""
-    hits = sum((F.coalesce(F.size(F.try_element_at(vector, F.lit(w))), F.lit(0)) for w in set(query.words())), F.lit(0))
-    total = F.aggregate(F.map_values(vector), F.lit(0), lambda a, x: a + F.size(x))
+    words, total = sorted(set(query.words())), F.size(vector)
+    hits = F.size(F.filter(vector, lambda x: x["lexeme"].isin(*words)))
     return F.when(total > 0, hits / total).otherwise(F.lit(0.0))
 
 
