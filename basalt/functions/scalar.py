@@ -7,6 +7,7 @@ from decimal import ROUND_HALF_EVEN, Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType
 
 _SPECIAL = set(".^$|()[]{}*+?\\")
 
@@ -272,7 +273,7 @@ def uuid_to_char(value: Column) -> Column:
     return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
 
 
-@F.udf("string")
+@F.udf(StringType())
 def quantize(value: str | None, like: str | None) -> str | None:
     """QUANTIZE on decimal floating point, by decimal arithmetic in Python."""
     if value is None or like is None:
@@ -280,12 +281,12 @@ def quantize(value: str | None, like: str | None) -> str | None:
     return str(Decimal(value).quantize(Decimal(like), rounding=ROUND_HALF_EVEN))
 
 
-@F.udf("string")
+@F.udf(StringType())
 def normalize_decfloat(value: str | None) -> str | None:
     return None if value is None else str(Decimal(value).normalize())
 
 
-@F.udf("int")
+@F.udf(IntegerType())
 def compare_decfloat(a: str | None, b: str | None) -> int | None:
     """0 equal, 1 less, 2 greater, 3 unordered."""
     if a is None or b is None:
@@ -294,6 +295,6 @@ def compare_decfloat(a: str | None, b: str | None) -> int | None:
     return 3 if x.is_nan() or y.is_nan() else 0 if x == y else 1 if x < y else 2
 
 
-@F.udf("int")
+@F.udf(IntegerType())
 def total_order(a: str | None, b: str | None) -> int | None:
     return None if a is None or b is None else int(Decimal(a).compare_total(Decimal(b)))

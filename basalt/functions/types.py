@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 # --- ranges: struct<lower, upper, lower_inc, upper_inc, empty>; a null bound is infinite
 
@@ -149,7 +150,7 @@ def is_multicast(inet: Column) -> Column:
     return cidr_contains(F.lit("224.0.0.0/4"), inet)
 
 
-@F.udf("binary")
+@F.udf(BinaryType())
 def inet_key(text: str | None) -> bytes | None:
     """16 bytes that order and compare addresses of both families; null if it is none."""
     import ipaddress
