@@ -286,6 +286,16 @@ def test_html_odd_sources():
         html.extract(s)
 
 
+def test_html_names_and_siblings():
+    """Class names with slashes, the region in the second of two siblings of one shape, elements that nothing closes."""
+    assert html.extract('<body><div class="w-1/2"><p>One two</p><p>three</p></div></body>') == "One two\n\nthree"
+    page = '<body><div class="row"><p>menu</p></div><hr><p>x</p><div class="row"><article><p>The text</p></article></div></body>'
+    assert html.extract(page) == "The text"
+    rule = html.rule_of(html.merged(html.wrapper_of(html.Page(page)), html.wrapper_of(html.Page(page.replace("The text", "Other")))))
+    assert html.extract(page, rule) == "The text"
+    assert html.extract("<article><p>a<button>b<svg>c</article>") == "abc"
+
+
 def test_warc_audit_finds_damage(spark, tmp_path):
     rows = [(i, f"http://x/{i}", "é" * i) for i in range(300)] + [(None, None, None), (5, "http://x/5", "again")]
     pages = spark.createDataFrame([(*r, 0) for r in rows], "page_id bigint, url string, html string, offset int").repartition(2)
