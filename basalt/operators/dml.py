@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.operators.relational import sort_key
+
 
 def insert(table: DataFrame, rows: DataFrame, defaults: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """INSERT ... SELECT: absent columns take their default or null."""
@@ -21,11 +23,23 @@ def insert(table: DataFrame, rows: DataFrame, defaults: dict[str, str] | None =
 
 
 def _affected(table: DataFrame, where: str | None, order_by: list[str] | None, rows: tuple[int, int] | None) -> DataFrame:
+    """``table`` with __hit; ROWS m TO n takes the m-th to n-th hit row in the order given, ties by the other columns.
+
+    The rows taken are a sort with a limit; they are found again in the table
+    by equality of all columns, and only rows equal to one of them are counted.
+    """
     marked = table.withColumn("__hit", F.coalesce(F.expr(where or "true"), F.lit(False)))
-    if rows:
-        order = Window.partitionBy("__hit").orderBy(*(F.expr(o) if " " not in o else F.expr(o.split()[0]).desc_nulls_first() if o.lower().endswith("desc") else F.expr(o.split()[0]) for o in order_by or []))
-        marked = marked.withColumn("__rank", F.row_number().over(order)).withColumn("__hit", F.col("__hit") & F.col("__rank").between(*rows)).drop("__rank")
-    return marked
+    if not rows:
+        return marked
+    names, hit = table.columns, marked.where("__hit")
+    first, last = rows
+    taken = hit.orderBy(*map(sort_key, order_by or []), *names).offset(first - 1).limit(max(0, last - first + 1))
+    taken = taken.groupBy(*(F.col(n).alias(f"__c{i}") for i, n in enumerate(names))).agg(F.count("*").alias("__copies"))
+    same = [F.col(n).eqNullSafe(F.col(f"__c{i}")) for i, n in enumerate(names)]
+    equal = hit.join(taken, same).withColumn("__n", F.row_number().over(Window.partitionBy(*names).orderBy("__copies")))
+    equal = equal.select(*names, (F.col("__n") <= F.col("__copies")).alias("__hit"))
+    others = hit.join(taken, same, "left_anti").withColumn("__hit", F.lit(False))
+    return equal.unionByName(others).unionByName(marked.where(~F.col("__hit")))
 
 
 def update(table: DataFrame, sets: dict[str, str], where: str | None = None, order_by: list[str] | None = None, rows: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -25,15 +25,18 @@ def offset_fetch(df: DataFrame, offset: int = 0, fetch: int = 1) -> DataFrame:
     return df.offset(offset).limit(fetch)
 
 
+def sort_key(key: str) -> Column:
+    """``name``, ``name desc``, ``name desc nulls last``; nulls come first unless said."""
+    name, *words = key.split()
+    down, last = "desc" in map(str.lower, words), "last" in map(str.lower, words)
+    c = F.col(name)
+    if down:
+        return c.desc_nulls_last() if last else c.desc_nulls_first()
+    return c.asc_nulls_last() if last else c.asc_nulls_first()
+
+
 def ordered(df: DataFrame, *keys: str) -> DataFrame:
-    """Keys such as ``name``, ``name desc``, ``name desc nulls last``; nulls come first unless said."""
-    out = []
-    for key in keys:
-        name, *words = key.split()
-        down, last = "desc" in map(str.lower, words), "last" in map(str.lower, words)
-        c = F.col(name)
-        out.append((c.desc_nulls_last() if last else c.desc_nulls_first()) if down else (c.asc_nulls_last() if last else c.asc_nulls_first()))
-    return df.orderBy(*out)
+    return df.orderBy(*map(sort_key, keys))
 
 
 def _unified(a: T.DataType, b: T.DataType) -> T.DataType:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from basalt import streaming
 from basalt.functions import scalar, types
-from basalt.operators import dml, quantified, relational, windows
+from basalt.operators import dml, numbering, quantified, relational, windows
 from basalt.sources import Links, Schemas, read_table, register, virtual
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -353,7 +353,18 @@ def fn_uuid_decfloat(spark, sf_dir):
 
 @pair("SELECT row_number() OVER (ORDER BY n_nationkey) + 99 AS id, n_name FROM nation")
 def sequence_next_value(spark, sf_dir):
-    return read_table(spark, sf_dir, "nation").select((F.row_number().over(Window.orderBy("n_nationkey")) + 99).cast("bigint").alias("id"), "n_name")
+    return numbering.numbered(read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "id", ["n_nationkey"], 100).select("id", "n_name")
+
+
+@pair("SELECT l_orderkey, l_linenumber, (row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1) * 10 + 5 AS id FROM lineitem")
+def sequence_ordered_step(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber")
+    return numbering.numbered(rows, "id", ["l_shipdate", "l_orderkey", "l_linenumber"], 5, 10).drop("l_shipdate")
+
+
+@pair("SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE NOT (o_orderstatus = 'F' AND n BETWEEN 3 AND 40)")
+def dml_delete_order_rows(spark, sf_dir):
+    return dml.delete(read_table(spark, sf_dir, "orders"), "o_orderstatus = 'F'", ["o_totalprice desc", "o_orderkey"], (3, 40))[0].select("o_orderkey")
 
 
 # --- extension types

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # ANSI casts raise on bad input, TIME is a type, times are UTC, joins and partitions are re-planned at run time.
@@ -20,3 +22,13 @@ def session(master: str = "local[*]", partitions: int = 8, **settings: str) -> S
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names in ``spark.checkpoint.dir``; a temporary one only where none is named."""
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="basalt-"))
+    return context._jsc.sc().getCheckpointDir().get()

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basalt.functions import scalar, types
-from basalt.operators import dml, relational
+from basalt.operators import dml, numbering, relational
 from basalt.operators.quantified import quantified
 
 OPS = {"=": operator.eq, "<>": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
@@ -73,6 +73,26 @@ def test_merge_rejects_two_sources(spark):
     assert {tuple(r) for r in dml.merge(t, s, "t.k = s.k", [dml.Clause("not matched by source", "delete")])[0].collect()} == {(1, "a")}
 
 
+def test_limited_rows_among_equal_ones(spark):
+    """Repeated rows and nulls: exactly the rows asked for change, whatever is equal to them."""
+    t = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (None, "a"), (None, None), (2, "b")], "k int, v string")
+    new, told = dml.update(t, {"v": "'x'"}, "v = 'a'", ["k desc"], (2, 3))
+    assert sorted(map(str, (tuple(r) for r in new.collect()))) == sorted(map(str, [(1, "x"), (1, "x"), (1, "a"), (None, "a"), (None, None), (2, "b")]))
+    assert told.count() == 2
+    left, gone = dml.delete(t, None, ["k"], (1, 3))
+    assert sorted(map(str, (tuple(r) for r in gone.collect()))) == sorted(map(str, [(None, None), (None, "a"), (1, "a")])) and left.count() == 3
+    assert dml.delete(t, "false", ["k"], (1, 3))[0].count() == 6
+
+
+def test_numbers_have_no_gaps(spark):
+    rows = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 50 = 1 THEN null ELSE id END AS k", "id")
+    got = sorted((r["n"], r["k"]) for r in numbering.numbered(rows, "n", ["k desc nulls last"], 10, 2).collect())
+    assert [n for n, _ in got] == list(range(10, 10010, 2))
+    known = [k for _, k in got if k is not None]
+    assert known == sorted(known, reverse=True) and all(k is None for _, k in got[len(known) :])
+    assert numbering.numbered(rows.limit(0), "n").count() == 0
+
+
 def test_upsert_matches_null(spark):
     t = spark.createDataFrame([(None, "a"), (2, "b")], "k int, v string")
     new, told = dml.update_or_insert(t, spark.createDataFrame([(None, "n")], "k int, v string"), ["k"])
