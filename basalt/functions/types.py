@@ -355,3 +355,36 @@ def ts_rank(vector: Column, query: TsQuery) -> Column:
 def ts_headline(text: Column, query: TsQuery, start: str = "<b>", stop: str = "</b>") -> Column:
     words = "|".join(sorted(map(re.escape, set(query.words()))))
     return F.regexp_replace(text, rf"(?i)(?<![\p{{L}}\p{{N}}])({words})(?![\p{{L}}\p{{N}}])", f"{start}$1{stop}")
+
+
+def has_lexeme(vector: Column, lexeme: str) -> Column:
+    return F.exists(vector, lambda x: x["lexeme"] == lexeme)
+
+
+def ts_concat(a: Column, b: Column) -> Column:
+    """``b`` after ``a``: its positions count on from the greatest of ``a``."""
+    end = F.coalesce(F.array_max(F.transform(a, lambda x: x["position"])), F.lit(0))
+    return F.concat(a, F.transform(b, lambda x: F.struct(x["lexeme"].alias("lexeme"), (x["position"] + end).alias("position"))))
+
+
+def ts_rank_cd(vector: Column, query: TsQuery) -> Column:
+    """Cover density: the sum of 1 / gap over neighbouring hits of different query words."""
+    hits = F.filter(vector, lambda x: x["lexeme"].isin(*sorted(set(query.words()))))
+    after = F.slice(hits, 2, F.greatest(F.size(hits), F.lit(1)))
+    pairs = F.filter(F.arrays_zip(hits.alias("a"), after.alias("b")), lambda p: p["b"].isNotNull() & (p["a"]["lexeme"] != p["b"]["lexeme"]))
+    gaps = F.transform(pairs, lambda p: F.lit(1.0) / (p["b"]["position"] - p["a"]["position"]))
+    return F.aggregate(gaps, F.lit(0.0), lambda total, x: total + x)
+
+
+def query_tree(query: TsQuery) -> str:
+    """The query as text with every operation in parentheses."""
+
+    def shown(t) -> str:
+        if isinstance(t, str):
+            return t
+        if t[0] == "!":
+            return f"!{shown(t[1])}"
+        sign = {"&": " & ", "|": " | ", "<>": f" <{t[3]}> " if len(t) > 3 else ""}[t[0]]
+        return f"({shown(t[1])}{sign}{shown(t[2])})"
+
+    return shown(query.tree)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basalt import streaming
-from basalt.functions import scalar, types
+from basalt.functions import routines, scalar, types
 from basalt.operators import dml, numbering, quantified, relational, windows
 from basalt.sources import Links, Schemas, read_table, register, virtual
 
@@ -465,6 +465,89 @@ def explain_rows(spark, sf_dir):
     return relational.explain(spark, "SELECT count(*) FROM nation WHERE n_regionkey = 1")
 
 
+# --- routines
+
+
+@pair("SELECT p_partkey, p_size * 2 + length(p_name) AS v FROM part WHERE p_size * 2 + length(p_name) > 40")
+def routine_scalar(spark, sf_dir):
+    routines.scalar_function(spark, "twice_plus_length", lambda n, s: n * 2 + s.str.len(), "bigint")
+    register(spark, sf_dir, ["part"])
+    return spark.sql("SELECT p_partkey, twice_plus_length(p_size, p_name) AS v FROM part WHERE twice_plus_length(p_size, p_name) > 40")
+
+
+@pair("SELECT s_suppkey, i AS step, s_suppkey * i AS product FROM supplier, LATERAL (SELECT unnest(generate_series(1, s_nationkey % 4)) AS i)")
+def routine_procedure(spark, sf_dir):
+    routines.procedure(spark, "multiples", lambda k, n: ((i, k * i) for i in range(1, n + 1)), "step bigint, product bigint")
+    register(spark, sf_dir, ["supplier"])
+    return spark.sql("SELECT s_suppkey, step, product FROM supplier, LATERAL multiples(s_suppkey, s_nationkey % 4)")
+
+
+@pair("SELECT n_regionkey AS region, count(*) AS n FROM nation WHERE n_regionkey BETWEEN 1 AND 3 GROUP BY n_regionkey")
+def routine_block(spark, sf_dir):
+    """A block with a loop over regions, each of which gives a row."""
+    nation = read_table(spark, sf_dir, "nation")
+    one = lambda region, low: nation.where((F.col("n_regionkey") == region) & (F.col("n_nationkey") >= low)).groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("n"))
+    return routines.for_range(1, 3, lambda i: routines.call(one, {"region": 0, "low": 0}, region=i))
+
+
+@pair("SELECT n_name FROM nation WHERE n_regionkey = 2")
+def context_variables(spark, sf_dir):
+    routines.set_context(spark, "wanted_region", 2)
+    register(spark, sf_dir, ["nation"])
+    return spark.sql("SELECT n_name FROM nation WHERE n_regionkey = CAST(wanted_region AS INT)")
+
+
+@pair("SELECT CAST(c_custkey AS VARCHAR) AS k, CASE WHEN c_acctbal > 0 THEN 'TRUE' ELSE 'FALSE' END AS credit, c_nationkey FROM customer")
+def bind_output(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_acctbal") > 0).alias("credit"), "c_nationkey")
+    return routines.bind(rows, {"bigint": "string", "boolean": "string"})
+
+
+@pair("SELECT 25 AS n, 25 AS versions, 25 AS variants, 25 AS fours")
+def gen_uuid_versions(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "nation").select(routines.gen_uuid(7).alias("u"), routines.gen_uuid().alias("v"))
+    return rows.agg(F.count_distinct("u").alias("n"), F.count_if(F.substring("u", 15, 1) == "7").alias("versions"), F.count_if(F.substring("u", 20, 1).isin(*"89ab")).alias("variants"), F.count_if(F.substring("v", 15, 1) == "4").alias("fours"))
+
+
+@pair("SELECT c_custkey, substring(c_name, 3, 4) AS part, c_name AS back, to_base64(encode(c_name)) AS b64, sha1(c_name) AS s1 FROM customer")
+def blob_and_cipher(spark, sf_dir):
+    key = F.lit("0123456789abcdef")
+    back = F.aes_decrypt(F.aes_encrypt(F.col("c_name"), key), key).cast("string")
+    c = read_table(spark, sf_dir, "customer")
+    return c.select("c_custkey", routines.blob_read(F.col("c_name"), 2, 4).cast("string").alias("part"), back.alias("back"), F.base64(F.col("c_name").cast("binary")).alias("b64"), F.sha1("c_name").alias("s1"))
+
+
+both("grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_linestatus) AS BIGINT) AS g FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())")
+both("cube", "SELECT l_returnflag, l_linestatus, CAST(sum(l_linenumber) AS BIGINT) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+both("in_subquery", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+both("max_pushed", "SELECT max(o_orderdate) AS last, min(o_orderkey) AS first FROM orders WHERE o_orderstatus = 'F'")
+
+
+@pair("SELECT c_custkey, TIMESTAMP '2024-07-01 12:00:00' + INTERVAL 2 HOUR AS berlin, TIMESTAMP '2024-07-01 12:00:00' - INTERVAL 4 HOUR AS york FROM customer WHERE c_custkey <= 5")
+def zone_conversion(spark, sf_dir):
+    at = F.lit("2024-07-01 12:00:00").cast("timestamp_ntz")
+    c = read_table(spark, sf_dir, "customer").where("c_custkey <= 5")
+    return c.select("c_custkey", F.convert_timezone(F.lit("UTC"), F.lit("Europe/Berlin"), at).alias("berlin"), F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), at).alias("york"))
+
+
+@pair("""WITH w AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^a-z0-9]+'), lambda x: x <> '') AS a FROM part)
+SELECT p_partkey, len(a) AS n, a[1] AS first, list_contains(a, 'of') AS has, list_reverse(a)[1] AS last, list_sort(a)[1] AS least, list_position(a, a[2]) AS at FROM w""")
+def array_more(spark, sf_dir):
+    v = types.tsvector(F.concat_ws(" ", "p_name", "p_type"))
+    a = F.col("a")
+    rows = read_table(spark, sf_dir, "part").select("p_partkey", F.transform(v, lambda x: x["lexeme"]).alias("a"), v.alias("v"))
+    return rows.select("p_partkey", F.size(a).cast("bigint").alias("n"), types.element(a, F.lit(1)).alias("first"), types.has_lexeme(F.col("v"), "of").alias("has"), F.reverse(a)[0].alias("last"), F.array_sort(a)[0].alias("least"), F.array_position(a, a[1]).cast("int").alias("at"))
+
+
+@pair("SELECT 1.0 / 2 + 1.0 / 1 AS cd, '((a & !b) | (c <2> d))' AS tree, 7 AS joined, '<b>Quick</b> brown' AS head")
+def tsquery_functions(spark, sf_dir):
+    a, b = types.tsvector(F.lit("quick old fox, quick")), types.tsvector(F.lit("the red dog"))
+    query = types.to_tsquery("quick & fox")
+    joined = F.array_max(F.transform(types.ts_concat(a, b), lambda x: x["position"]))
+    tree = types.query_tree(types.to_tsquery("(a & !b) | (c <2> d)"))
+    return spark.range(1).select(types.ts_rank_cd(a, query).alias("cd"), F.lit(tree).alias("tree"), joined.alias("joined"), types.ts_headline(F.lit("Quick brown"), query).alias("head"))
+
+
 # --- data modification
 
 
@@ -528,6 +611,11 @@ def event_tumbling(spark, sf_dir):
     return w.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("h"), "event_type", "n")
 
 
+@pair("SELECT w AS window_start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY w")
+def event_sliding(spark, sf_dir):
+    return streaming.windowed(read_table(spark, sf_dir, "events"), "ts", "1 hour", "30 minutes").select("window_start", "n")
+
+
 @pair("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS first FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, count(*) AS n FROM s GROUP BY user_id, k""")
 def event_sessions(spark, sf_dir):
