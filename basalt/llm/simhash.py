@@ -205,10 +205,10 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     own = [F.coalesce("doc_id", F.lit(-(1 << 63))), text_key()]
     marked, known = _grouped(docs)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("kept_id"), F.col("text_key").alias("kept_key")))
-    kept = marked.join(known, F.col("fp") == F.col("known")).groupBy("root").agg(best.alias("best")).select("best.kept_id", "best.kept_key")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__kept_id"), F.col("text_key").alias("__kept_key")))
+    kept = marked.join(known, F.col("fp") == F.col("known")).groupBy("root").agg(best.alias("best")).select("best.__kept_id", "best.__kept_key")
     rows = docs.withColumns({"__id": own[0], "__key": own[1]})
-    met = rows.join(kept, (F.col("__id") == F.col("kept_id")) & (F.col("__key") == F.col("kept_key")), "left_semi")
+    met = rows.join(kept, (F.col("__id") == F.col("__kept_id")) & (F.col("__key") == F.col("__kept_key")), "left_semi")
     return met.dropDuplicates(["__id", "__key"]).select(*docs.columns)
 
 

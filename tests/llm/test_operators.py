@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from basalt.llm import ann, automata, bitpack, decontam, html, packing, quality, secrets, simhash, substring, warc
 from basalt.llm.common import new_path, stored
@@ -77,7 +78,9 @@ def test_simhash(docs, none, rows):
     want = Counter((i, f"{p:016x}", least.get(g)) for (i, _), p, g in zip(rows, prints, group, strict=True))
     assert bag(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == want
     assert simhash.near_duplicates(none).count() == 0
-    assert simhash.without_near_duplicates(docs).count() == len(set(group))
+    clashing = docs.withColumns({c: F.lit(1) for c in ("kept_id", "kept_key", "known", "root", "best")})
+    kept = simhash.without_near_duplicates(clashing)
+    assert kept.columns == clashing.columns and kept.count() == len(set(group))
 
 
 def test_simhash_blocks_and_forest(spark, monkeypatch):
