@@ -19,7 +19,7 @@ named in the manifest, which Spark commits, count, so a lost executor leaves
 unused files and never a wrong result.
 
 Defined results: a null text is empty and gives the end id alone; rows with a
-null id come first; rows of equal id keep an order by text; an empty table
+null id come first; rows of equal id keep an order by the hash of their text; an empty table
 gives no files and no rows.
 """
 
@@ -36,12 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basalt.llm.common import column_texts, new_path, ship, stored, table, taken, wanted
+from basalt.llm.common import column_texts, new_path, ship, stored, table, taken, text_key, wanted
 from basalt.llm.tokens import tokenizer, vocabulary_path
 
 MAGIC = b"BSLTIDS1"
 VERSION = 1
 BLOCK = 4096
+#: Ids that are unpacked at once when a file is read from end to end.
+RUN = 1 << 18
 _HEADER = struct.Struct("<8sIIIIQQQ")
 
 
@@ -139,6 +141,14 @@ class Reader:
             out.append(unpack(data[self.blocks[b] - base : self.blocks[b + 1] - base], self.width, n))
         return np.concatenate(out)[start - lo * self.block : end - lo * self.block]
 
+    def runs(self, most: int = RUN) -> Iterator[tuple[int, int]]:
+        """Consecutive documents [lo, hi) that cover the file, of about ``most`` ids each or one document."""
+        lo = 0
+        while lo < self.n_docs:
+            hi = max(lo + 1, int(np.searchsorted(self.starts, self.starts[lo] + most, side="right")) - 1)
+            yield lo, hi
+            lo = hi
+
     def document(self, i: int) -> np.ndarray:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
@@ -157,18 +167,20 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str) -> DataFrame:
         writer, own = None, f"{base}/ids-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
         encode = tokenizer(vocabulary)
         for batch in batches:
-            for doc_id, text in zip(taken(batch, "doc_id").to_pylist(), column_texts(batch, "text"), strict=True):
+            for doc_id, ids in zip(taken(batch, "doc_id").to_pylist(), encode.encode_all(column_texts(batch, "text")), strict=True):
                 if writer is None:
                     fs.create_dir(base, recursive=True)
                     writer = Writer(fs.open_output_stream(own), width_of(encode.size))
-                writer.add(doc_id, np.frombuffer(encode.encode(text), "<u4"))
+                writer.add(doc_id, np.frombuffer(ids, "<u4"))
         if writer is not None:
             writer.close()
             row = [[task.partitionId()], [folder.rstrip("/") + own.removeprefix(base)], [len(writer.docs)], [writer.n]]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["part", "file", "n_docs", "n_ids"])
 
-    rows = wanted(docs, doc_id="bigint", text="string")
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # rows of one id are dealt by the hash of their text and then their number, so a frequent id is split;
+    # rows of equal id and text are interchangeable
+    rows = wanted(docs, doc_id="bigint", text="string").withColumns({"text_key": text_key(), "row": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "text_key", "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text_key", "text").select("doc_id", "text")
     return ordered.mapInArrow(write, "part bigint, file string, n_docs bigint, n_ids bigint")
 
 
@@ -181,9 +193,10 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                 fs, path = _at(uri)
                 with fs.open_input_file(path) as f:
                     reader = Reader(f)
-                    for lo in range(0, reader.n_docs, 1024):
-                        hi = min(lo + 1024, reader.n_docs)
-                        crc = [zlib.crc32(reader.document(i).astype("<u4").tobytes()) for i in range(lo, hi)]
+                    for lo, hi in reader.runs():
+                        at = reader.starts[lo : hi + 1] - reader.starts[lo]
+                        ids = memoryview(reader.ids(reader.starts[lo], reader.starts[hi]).astype("<u4").tobytes())
+                        crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                         yield pa.RecordBatch.from_arrays(
                             [
                                 pa.array(reader.docs[lo:hi], mask=~reader.known[lo:hi]),

@@ -1,10 +1,14 @@
 """Token ids of whole texts, by the tokenizers library.
 
-White space never joins two pre-tokens of the supported vocabulary, so a text
-is the sequence of its white-space-free chunks.  A chunk's ids are found once
-per worker and kept in a bounded table; a chunk of Latin-1 characters is split
-by the file's own pre-token pattern and each piece goes to the library's BPE
-model, every other chunk goes through the library's whole pipeline.
+White space never joins two pre-tokens of the supported vocabulary, and on
+Latin-1 characters its normalizer does no more than lower the letters.  So such
+a text is split into pre-tokens here, and their ids are kept in a table.  Texts
+are taken a batch at a time: the batch's unknown pre-tokens go to the library's
+model in one call, as one text whose words a space parts; every word ends in a
+token that closes it, which parts the ids again.  A chunk between white space
+that holds other characters, or the beginning of an added token, goes through
+the library's whole pipeline.  The table has two generations, so what is in use
+outlives its bound.
 """
 
 from __future__ import annotations
@@ -13,15 +17,23 @@ import array
 import json
 import re
 import sys
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import regex
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 END_ID = 2
-KEPT_CHUNKS = 400_000
+#: Entries of one generation of the table, and the longest pre-token or chunk that is kept.
+KEPT = 300_000
 LONGEST_KEPT = 64
+#: A batch ends at so many characters or texts; a longer text is a batch of its own.
+BATCH_CHARS, BATCH_TEXTS = 1 << 20, 512
 #: Split by str.split() but not white space to the tokenizer.
 _ODD = re.compile("[\x1c-\x1f]")
+# Fixed value: the vocabulary's pre-token pattern, and what it comes to on Latin-1 letters in lower case.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN = r"[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|'(?:s|t|re|ve|m|ll|d)|[^\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -31,63 +43,114 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-class WordTokenizer(dict):
-    """chunk -> its ids as little-endian unsigned 32-bit integers."""
+def _packed(ids: list[int]) -> bytes:
+    out = array.array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+_END = _packed([END_ID])
+
+
+class WordTokenizer:
+    """Ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        super().__init__()
         spec = json.load(open(path, encoding="utf-8"))
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
         first, second = spec["pre_tokenizer"]["pretokenizers"]
-        if kinds != ["NFC", "Replace", "Lowercase"] or (first["type"], second["type"], second["use_regex"]) != ("Split", "ByteLevel", False):
-            raise ValueError(f"{path}: not a lower-case word vocabulary that drops white space")
+        suffix = spec["model"]["end_of_word_suffix"]
+        if kinds != ["NFC", "Replace", "Lowercase"] or (first["type"], second["type"], second["use_regex"]) != ("Split", "ByteLevel", False) or not suffix:
+            raise ValueError(f"{path}: not a lower-case word vocabulary with word ends that drops white space")
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.pieces = regex.compile(first["pattern"]["Regex"])
-        self.letters = str.maketrans(_byte_letters())
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        pattern = first["pattern"]["Regex"]
+        self.words = re.compile(_LATIN) if pattern == _PATTERN else regex.compile(pattern)
+        self.letters = str.maketrans({b: c for b, c in _byte_letters().items() if b != 0x20})
         self.size = self.tokenizer.get_vocab_size()
-        self.marks = tuple(x["content"][:2] for x in spec["added_tokens"])
-        self.known: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.known.get(piece)
-        if ids is None:
-            ids = _packed([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
-            if len(piece) <= LONGEST_KEPT:
-                if len(self.known) >= KEPT_CHUNKS:
-                    self.known.clear()
-                self.known[piece] = ids
-        return ids
+        self.closes = np.zeros(self.size, bool)
+        for token, i in spec["model"]["vocab"].items():
+            self.closes[i] = token.endswith(suffix)
+        marks = "|".join(re.escape(x["content"][:2]) for x in spec["added_tokens"])
+        other = r"[^\x00-\xff]" + (f"|{marks}" if marks else "")
+        self.other = re.compile(other)
+        self.chunk = re.compile(rf"\S*?(?:{other})\S*")
+        self.now: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def __missing__(self, chunk: str) -> bytes:
-        if (chunk.isascii() or max(chunk) <= "\xff") and not any(m in chunk for m in self.marks):
-            ids = b"".join(map(self._piece, self.pieces.findall(chunk.lower())))
-        else:
-            ids = self._whole(chunk)
-        if len(chunk) <= LONGEST_KEPT:
-            if len(self) >= KEPT_CHUNKS:
-                self.clear()
-            self[chunk] = ids
-        return ids
+    def _parts(self, text: str) -> list[str]:
+        """Pre-tokens in lower case, and chunks for the whole pipeline as they are."""
+        if self.other.search(text) is None:
+            return self.words.findall(text.lower())
+        out, at = [], 0
+        for m in self.chunk.finditer(text):
+            out += self.words.findall(text[at : m.start()].lower())
+            out.append(m[0])
+            at = m.end()
+        return out + self.words.findall(text[at:].lower())
+
+    def _learn(self, parts: set[str]) -> None:
+        """Ids of a batch's unknown parts."""
+        words = []
+        for part in parts:
+            if self.other.search(part) is None:
+                words.append(part)
+            else:
+                self.now[part] = self._whole(part)
+        if not words:
+            return
+        letters = " ".join(words)
+        if not (letters.isascii() and letters.isprintable()):
+            letters = letters.encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.model.encode_batch_fast([letters], add_special_tokens=False)[0].ids, "<u4")
+        data, ends = ids.tobytes(), ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
+        self.now.update(zip(words, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+
+    def _batch(self, texts: list[str]) -> Iterator[bytes]:
+        odd = [_ODD.search(t) is not None for t in texts]
+        split = [[] if o else self._parts(t) for t, o in zip(texts, odd, strict=True)]
+        get, old = self.now.get, self.old
+        found, unknown = [], set()
+        for parts in split:
+            some = list(map(get, parts))
+            if None in some:
+                unknown.update([w for w, ids in zip(parts, some, strict=True) if ids is None])
+            found.append(some)
+        again = [x for x in unknown if x in old]
+        self.now.update(zip(again, map(old.__getitem__, again), strict=True))
+        unknown.difference_update(again)
+        self._learn(unknown)
+        for text, parts, some, o in zip(texts, split, found, odd, strict=True):
+            if o:
+                yield self._whole(text) + _END
+            else:
+                yield b"".join([get(w) if ids is None else ids for w, ids in zip(parts, some, strict=True)] if None in some else some) + _END
+        for part in [x for x in unknown if len(x) > LONGEST_KEPT]:
+            del self.now[part]
+        if len(self.now) > KEPT:
+            self.old, self.now = self.now, {}
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """For each text its ids and the end id."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text)
+            size += len(text)
+            if size >= BATCH_CHARS or len(held) >= BATCH_TEXTS:
+                yield from self._batch(held)
+                held, size = [], 0
+        if held:
+            yield from self._batch(held)
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text with the end id, as little-endian unsigned 32-bit integers."""
-        if _ODD.search(text):
-            return self._whole(text) + _END
-        return b"".join(map(self.__getitem__, text.split())) + _END
+        return next(self.encode_all([text]))
 
 
-def _packed(ids: list[int]) -> bytes:
-    out = array.array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
-
-
-_END = _packed([END_ID])
 _loaded: dict[str, WordTokenizer] = {}
 
 
