@@ -1,32 +1,43 @@
 """Removal of word passages that repeat, with a count-min prefilter.
 
-Pass 1: every task sketches its windows (``WINDOW`` consecutive words) into a
-count-min sketch of two rows.  A task's sketch travels as sorted cell numbers,
-a byte or two each, dealt by cell range; each range is merged on its own and
-leaves one bit a cell: whether two windows or more fell there.  The estimate
-never undercounts, so a window without both bits occurs once.
+The documents are written once as chunks of about ``CHUNK_BYTES`` bytes in the
+shared folder; a chunk is what every pass reads whole, so a pass may run on
+other executors, or again, and still meets the same chunks.
+
+Pass 1: every chunk sketches its windows (``WINDOW`` consecutive words) into a
+count-min sketch of two rows.  A chunk's sketch travels as sorted cell numbers,
+a byte or two each, dealt by cell range; each range is merged on its own, and
+tells each chunk one bit for each cell that it sent: whether two windows or more
+of the corpus fell there.  The estimate never undercounts, so a window without
+both bits occurs once.  The sketch has at least four cells a word in each row
+at every size, and a range holds 2^``RANGE_BITS`` cells, so ranges grow in
+number with the corpus, and no task holds more than one range, or the answers
+to one chunk.
 
 Pass 2: only windows with both bits are grouped exactly, by a 128-bit key of
-their word sequence.  A task first groups its own: a key that occurs in it
+their word sequence.  A chunk first groups its own: a key that occurs in it
 twice is known to repeat, and is sent once, so a hot window costs a row for
-each task and not for each copy.  Keys are dealt by range, and what turns out
-repeated goes back as word positions to the chunk of documents it came from.
+each chunk and not for each copy.  Keys are dealt by range, and what turns out
+repeated goes back as word positions to its chunk.
 
-Pass 3: the documents meet their removed spans and keep the other words.
+Pass 3: every chunk drops the words that its repeated windows cover.
 
-The sketch has at least four cells a window in each row, up to ``MAX_CELLS``;
-beyond that bound more windows pass the filter, the result is the same.  The
-input must read the same twice (files or a stored table).
+Answers and positions go back to their chunks through files by chunk number, so
+no text is shuffled in any pass.
 
 Defined results: a null text has no words; texts under ``WINDOW`` words keep
-all; repeated rows and null ids are judged like other rows, so a row repeated
-with the same id removes its windows in each.
+all; repeated rows and null ids are judged like other rows, each copy by its
+own windows; a text longer than a chunk is a chunk of its own; an empty table
+gives no rows.  Windows are compared by their keys: the two are polynomials of
+64-bit hashes of the words, so two windows count as equal by chance only where
+the hashes of two different words are equal (about w^2 / 2^65 for w different
+words) or both polynomials are.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +47,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import column_bytes, new_path, parts, ship, table, taken, text_key, wanted
+from basalt.llm.common import column_bytes, delete_path, new_path, parts, ship, stored, table, taken, wanted
 
 WINDOW = 35
 ROWS = 2
-MAX_CELLS = 1 << 30
-CHUNK_WORDS = 1_000_000
-SKETCH_SHARDS = 64
-_MASK = (1 << 64) - 1
+CELLS_PER_WORD = 4
+LEAST_BITS, RANGE_BITS = 16, 23
+CHUNK_BYTES = 6 << 20
+#: Candidate windows that one key range is meant to hold.
+KEYS_PER_RANGE = 500_000
+#: Words of the corpus for each task of a shuffle.
+TASK_WORDS = 16_000_000
+_SLICE = 256
 # Odd multipliers of the two polynomial hashes, and of the finishing mix.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
@@ -96,45 +111,6 @@ def window_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-class _Chunk:
-    """Some consecutive documents of a task: ids, keys of their texts, word offsets, word hashes."""
-
-    def __init__(self):
-        self.ids, self.texts, self.offsets, self.words = [], [], [0], []
-
-    def add(self, doc_id, text_key: int, words: np.ndarray) -> None:
-        self.ids.append(doc_id)
-        self.texts.append(text_key)
-        self.words.append(words)
-        self.offsets.append(self.offsets[-1] + len(words))
-
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in the chunk, first key, second key) of each window within one document."""
-        n = self.offsets[-1]
-        if n < WINDOW:
-            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-        a, b = window_keys(np.concatenate(self.words))
-        ends = np.repeat(np.array(self.offsets[1:]), np.diff(self.offsets))[: n - WINDOW + 1]
-        at = np.flatnonzero(np.arange(n - WINDOW + 1) + WINDOW <= ends)
-        return at, a[at], b[at]
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunk]:
-    now = _Chunk()
-    for batch in batches:
-        ids, keys = taken(batch, "doc_id").to_pylist(), taken(batch, "text_key").to_pylist()
-        for doc_id, key, text in zip(ids, keys, column_bytes(batch, "text"), strict=True):
-            words = text.split()
-            if len(words) < WINDOW:
-                continue
-            now.add(doc_id, key, np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words)))
-            if now.offsets[-1] >= CHUNK_WORDS:
-                yield now
-                now = _Chunk()
-    if now.ids:
-        yield now
-
-
 def rising(values: np.ndarray) -> bytes:
     """Sorted non-negative numbers as differences, seven bits a byte."""
     d = np.diff(values, prepend=0).astype(np.uint64)
@@ -162,101 +138,238 @@ def _rows(found: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
 
-def _sketch(bits: int):
-    """A task's sketch of a chunk: for each row and cell range, the cells hit and those hit twice."""
-    per = bits - SKETCH_SHARDS.bit_length() + 1
+def _open(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+
+
+_CHUNK_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())])
+_LISTED = "chunk bigint, file string, at int, n_words bigint"
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _write_chunks(folder: str):
+    """Documents into chunks, one file a task; rows (chunk, file, at, n_words), where n_words is at least the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, out, held, size = TaskContext.get(), [], [], 0
+        fs, base = _open(folder)
+        name = f"chunks-{task.partitionId():06d}-{task.taskAttemptId()}"
+        writer = sink = None
+
+        def close() -> None:
+            nonlocal writer, sink, held, size
+            if writer is None:
+                fs.create_dir(base, recursive=True)
+                sink = fs.open_output_stream(f"{base}/{name}")
+                writer = pa.ipc.new_file(sink, _CHUNK_SCHEMA, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            ids, texts = zip(*held, strict=True)
+            n_words = len(texts) + sum(int(np.count_nonzero(_SPACE[np.frombuffer(t, np.uint8)])) for t in texts)
+            out.append(((task.partitionId() << 32) + len(out), name, len(out), n_words))
+            writer.write_batch(pa.record_batch([pa.array(ids, pa.int64()), pa.array(texts, pa.large_binary())], schema=_CHUNK_SCHEMA))
+            held, size = [], 0
+
+        for batch in batches:
+            for row in zip(taken(batch, "doc_id").to_pylist(), column_bytes(batch, "text"), strict=True):
+                held.append(row)
+                size += len(row[1])
+                if size >= CHUNK_BYTES:
+                    close()
+        if held:
+            close()
+        if writer is not None:
+            writer.close()
+            sink.close()
+        yield _rows(out, ["chunk", "file", "at", "n_words"], [pa.int64(), pa.string(), pa.int32(), pa.int64()])
+
+    return run
+
+
+def _read_chunks(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[bytes]]]:
+    """(chunk, ids, texts) of the listed chunks."""
+    fs, base = _open(folder)
+    for batch in batches:
+        for chunk, name, at in zip(*(taken(batch, c).to_pylist() for c in ("chunk", "file", "at")), strict=True):
+            with fs.open_input_file(f"{base}/{name}") as f:
+                rows = pa.ipc.open_file(f).get_batch(at)
+                yield chunk, rows.column(0).to_pylist(), rows.column(1).to_pylist()
+
+
+def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position among the chunk's words, first key, second key) of each window within one document."""
+    words = [np.fromiter(map(_hash_of.__getitem__, w), np.uint64, len(w)) for w in map(bytes.split, texts)]
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    n = int(size.sum())
+    if n < WINDOW:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    a, b = window_keys(np.concatenate(words))
+    ends = np.repeat(np.cumsum(size), size)[: n - WINDOW + 1]
+    at = np.flatnonzero(np.arange(n - WINDOW + 1) + WINDOW <= ends)
+    return at, a[at], b[at]
+
+
+def _ranges(cells: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges that sorted cells fall in, and where each begins."""
+    of = cells >> width
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.empty(0, np.int64)
+    return of[first], np.append(first, len(cells))
+
+
+def _cells(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key >> np.uint64(64 - bits)).astype(np.int64)
+
+
+_SKETCH = ["shard", "chunk", "cells", "twice"]
+_SKETCH_SCHEMA = "shard bigint, chunk bigint, cells binary, twice binary"
+
+
+def _sketch(folder: str, bits: int):
+    """A chunk's sketch: for each row and cell range the cells hit, and which of them more than once."""
+    width = min(bits, RANGE_BITS)
+    ranges = 1 << (bits - width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in _chunks(batches):
+        for chunk, _, texts in _read_chunks(folder, batches):
             out = []
-            for row, key in enumerate(chunk.windows()[1:]):
-                cells = np.sort(key >> np.uint64(64 - bits)).astype(np.int64)
-                same = cells[1:] == cells[:-1]
-                once = cells[np.concatenate([[True], ~same])] if len(cells) else cells
-                twice = cells[1:][same]
-                twice = twice[np.concatenate([[True], twice[1:] != twice[:-1]])] if len(twice) else twice
-                edges = np.arange(SKETCH_SHARDS + 1) << per
-                for s, (a, b, c, d) in enumerate(zip(*(np.searchsorted(x, y) for x in (once, twice) for y in (edges[:-1], edges[1:])), strict=True)):
-                    if b > a:
-                        out.append((row * SKETCH_SHARDS + s, rising(once[a:b] - edges[s]), rising(twice[c:d] - edges[s])))
-            yield _rows(out, ["shard", "once", "twice"], [pa.int64(), pa.binary(), pa.binary()])
+            for row, key in enumerate(_windows(texts)[1:]):
+                cells = np.sort(_cells(key, bits))
+                first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])) if len(cells) else np.empty(0, np.int64)
+                twice = np.diff(np.append(first, len(cells))) > 1
+                cells = cells[first]
+                of, cut = _ranges(cells, width)
+                for s, lo, hi in zip(of.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                    out.append((row * ranges + s, chunk, rising(cells[lo:hi] - (s << width)), np.packbits(twice[lo:hi]).tobytes()))
+            for i in range(0, len(out), _SLICE):
+                yield _rows(out[i : i + _SLICE], _SKETCH, [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
 
     return run
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+_BACK = ["home", "chunk", "shard", "data"]
+_BACK_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+_BACK_SCHEMA = "home bigint, chunk bigint, shard bigint, data binary"
 
 
-def _merge(bits: int, folder: str):
-    """Adds the sketches of a cell range (rows come sorted by it) and writes its bits as a file."""
-    cells = 1 << (bits - SKETCH_SHARDS.bit_length() + 1)
+def home_of(chunk: int, homes: int) -> int:
+    """The file that holds what goes back to a chunk."""
+    return xxhash.xxh64_intdigest(chunk.to_bytes(8, "little"), 0) % homes
 
-    def close(shard: int, count: np.ndarray) -> tuple[int, str]:
-        fs, base = _open(folder)
-        fs.create_dir(base, recursive=True)
-        own = f"{base}/{shard:04d}"
-        attempt = f"{own}-{TaskContext.get().taskAttemptId()}"
-        with fs.open_output_stream(attempt) as f:
-            f.write(np.packbits(count >= 2).tobytes())
-        return shard, attempt.removeprefix(base + "/")
+
+def _answers(bits: int, homes: int):
+    """Rows sorted by range: the range's cells are counted, then each chunk gets one bit for each cell that it sent."""
+    range_cells = 1 << min(bits, RANGE_BITS)
+
+    def close(shard: int, held: list[tuple[int, np.ndarray]], count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(held), _SLICE):
+            some = held[i : i + _SLICE]
+            yield _rows([(home_of(c, homes), c, shard, np.packbits(count[at] >= 2).tobytes()) for c, at in some], _BACK, _BACK_KINDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, count, out = None, None, []
+        _release()
+        now, held, count = None, [], None
         for batch in batches:
-            for shard, once, twice in zip(*(taken(batch, c).to_pylist() for c in ("shard", "once", "twice")), strict=True):
+            for shard, chunk, cells, twice in zip(*(taken(batch, c).to_pylist() for c in _SKETCH), strict=True):
                 if shard != now:
                     if now is not None:
-                        out.append(close(now, count))
-                    now, count = shard, np.zeros(cells, np.uint8)
-                for data in (once, twice):
-                    at = risen(data)
-                    count[at] = np.minimum(count[at] + 1, 2)
+                        yield from close(now, held, count)
+                    now, held, count = shard, [], np.zeros(range_cells, np.uint8)
+                at = risen(cells).astype(np.int32)
+                more = np.unpackbits(np.frombuffer(twice, np.uint8), count=len(at))
+                count[at] = np.minimum(count[at] + 1 + more, 2)
+                held.append((chunk, at))
         if now is not None:
-            out.append(close(now, count))
-        yield _rows(out, ["shard", "file"], [pa.int64(), pa.string()])
+            yield from close(now, held, count)
 
     return run
 
 
-_loaded: dict[str, np.ndarray] = {}
+def _write_back(folder: str, joined: Callable[[list[bytes]], bytes]):
+    """Rows sorted by (home, chunk, shard): one file for each home, of one entry a chunk and an index; rows (home, file)."""
 
-
-def _bitmaps(folder: str, files: dict[int, str], bits: int) -> np.ndarray:
-    """The merged sketch, ROWS bitmaps, read once by a worker."""
-    if folder not in _loaded:
-        _loaded.clear()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(folder)
-        size = (1 << bits) // SKETCH_SHARDS // 8
-        maps = np.zeros((ROWS * SKETCH_SHARDS, size), np.uint8)
-        for shard, name in files.items():
-            with fs.open_input_file(f"{base}/{name}") as f:
-                maps[shard] = np.frombuffer(f.read(), np.uint8)
-        _loaded[folder] = maps.reshape(ROWS, -1)
-    return _loaded[folder]
+        attempt, files, out, index, held, at, now = TaskContext.get().taskAttemptId(), [], None, [], [], 0, (None, None)
+
+        def entry() -> None:
+            nonlocal at, held
+            data = joined(held)
+            out.write(data)
+            index.append((now[1], at, len(data)))
+            at, held = at + len(data), []
 
+        def close() -> None:
+            entry()
+            out.write(np.array(index, "<i8").tobytes() + len(index).to_bytes(8, "little"))
+            out.close()
 
-def _estimated(bitmap: np.ndarray, key: np.ndarray, bits: int) -> np.ndarray:
-    cell = key >> np.uint64(64 - bits)
-    return (bitmap[cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8)) & 1 > 0
+        for batch in batches:
+            for home, chunk, data in zip(*(taken(batch, c).to_pylist() for c in ("home", "chunk", "data")), strict=True):
+                if home != now[0]:
+                    if out is not None:
+                        close()
+                    fs.create_dir(base, recursive=True)
+                    files.append((home, f"{home:06d}-{attempt}"))
+                    out, index, at = fs.open_output_stream(f"{base}/{files[-1][1]}"), [], 0
+                elif chunk != now[1]:
+                    entry()
+                now = (home, chunk)
+                held.append(data)
+        if out is not None:
+            close()
+        yield _rows(files, ["home", "file"], [pa.int64(), pa.string()])
+
+    return run
 
 
-_SENT = ["shard", "chunk", "kind", "data", "more", "ids", "texts"]
-_SENT_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-_SENT_SCHEMA = "shard bigint, chunk string, kind bigint, data binary, more binary, ids array<bigint>, texts array<bigint>"
+def _back(folder: str, files: dict[int, str], chunk: int, homes: int) -> bytes | None:
+    """What went back to a chunk."""
+    name = files.get(home_of(chunk, homes))
+    if name is None:
+        return None
+    fs, base = _open(folder)
+    with fs.open_input_file(f"{base}/{name}") as f:
+        size = f.size()
+        n = int.from_bytes(f.read_at(8, size - 8), "little")
+        index = np.frombuffer(f.read_at(24 * n, size - 8 - 24 * n), "<i8").reshape(n, 3)
+        hit = np.searchsorted(index[:, 0], chunk)
+        return f.read_at(int(index[hit, 2]), int(index[hit, 1])) if hit < n and index[hit, 0] == chunk else None
 
 
-def _candidates(folder: str, files: dict[int, str], bits: int, shards: int):
-    """Rows of kind 0: keys and positions for a key range.  Kind 1: the chunk's documents and what is known to repeat."""
-    shift = np.uint64(64 - (shards.bit_length() - 1))
+def _estimated(answer: np.ndarray, at: int, key: np.ndarray, bits: int, width: int) -> tuple[np.ndarray, int]:
+    """For each window its cell's bit in one row of the answers from byte ``at``, and where the next row begins."""
+    cells, which = np.unique(_cells(key, bits), return_inverse=True)
+    _, cut = _ranges(cells, width)
+    told = []
+    for n in np.diff(cut).tolist():
+        size = -(-n // 8)
+        told.append(np.unpackbits(answer[at : at + size], count=n))
+        at += size
+    return np.concatenate(told)[which] > 0, at
+
+
+_SENT = ["shard", "chunk", "kind", "data", "more"]
+_SENT_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+_SENT_SCHEMA = "shard bigint, chunk bigint, kind bigint, data binary, more binary"
+
+
+def _candidates(folder: str, answers: str, files: dict[int, str], homes: int, bits: int, shards: int):
+    """Rows of kind 0: keys and positions for a key range.  Kind 1: what repeats within the chunk."""
+    shift, width = np.uint64(64 - (shards.bit_length() - 1)), min(bits, RANGE_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maps, task = _bitmaps(folder, files, bits), TaskContext.get().partitionId()
-        for number, chunk in enumerate(_chunks(batches)):
-            at, a, b = chunk.windows()
-            keep = _estimated(maps[0], a, bits)
-            at, a, b = at[keep], a[keep], b[keep]
-            keep = _estimated(maps[1], b, bits)
+        for chunk, _, texts in _read_chunks(folder, batches):
+            at, a, b = _windows(texts)
+            if not len(at):
+                continue
+            data = _back(answers, files, chunk, homes)
+            if data is None:
+                raise ValueError(f"no answers to chunk {chunk}")
+            answer = np.frombuffer(data, np.uint8)
+            keep, next_row = _estimated(answer, 0, a, bits, width)
+            second, end = _estimated(answer, next_row, b, bits, width)
+            if end != len(answer):
+                raise ValueError(f"answers to another chunk than {chunk}")
+            keep &= second
             at, a, b = at[keep], a[keep], b[keep]
             order = np.lexsort((at, b, a))
             at, a, b = at[order], a[order], b[order]
@@ -264,8 +377,7 @@ def _candidates(folder: str, files: dict[int, str], bits: int, shards: int):
             first = np.flatnonzero(new)
             size = np.diff(np.append(first, len(a)))
             known = np.sort(at[np.repeat(size > 1, size)])
-            name = f"{task}-{number}"
-            rows = [(hash_shard(name, shards), name, 1, rising(known), np.array(chunk.offsets, "<i8").tobytes(), chunk.ids, chunk.texts)]
+            rows = [(home_of(chunk, shards), chunk, 1, rising(known), None)] if len(known) else []
             at, a, b, many = at[first], a[first], b[first], size > 1
             shard = (a >> shift).astype(np.int64) if shards > 1 else np.zeros(len(a), np.int64)
             order = np.lexsort((at, shard))
@@ -274,29 +386,23 @@ def _candidates(folder: str, files: dict[int, str], bits: int, shards: int):
             for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                 if hi > lo:
                     keys = np.stack([a[lo:hi], b[lo:hi]]).astype("<u8").tobytes() + np.packbits(many[lo:hi]).tobytes()
-                    rows.append((int(shard[lo]), name, 0, keys, rising(at[lo:hi]), None, None))
-            for i in range(0, len(rows), 64):
-                yield _rows(rows[i : i + 64], _SENT, _SENT_KINDS)
+                    rows.append((int(shard[lo]), chunk, 0, keys, rising(at[lo:hi])))
+            for i in range(0, len(rows), _SLICE):
+                yield _rows(rows[i : i + _SLICE], _SENT, _SENT_KINDS)
 
     return run
 
 
-def hash_shard(name: str, shards: int) -> int:
-    return xxhash.xxh64_intdigest(name.encode(), 0) % shards
-
-
 def _release() -> None:
     """A worker that goes on to later stages lets go of what only the scans need."""
-    _loaded.clear()
     _powers.clear()
     _hash_of.clear()
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeated(homes: int):
     """Rows sorted by key range: the positions whose key occurs elsewhere, back to their chunks; kind 1 passes through."""
-    _release()
 
-    def close(held: list[tuple[str, bytes, bytes]]) -> list[tuple]:
+    def close(held: list[tuple[int, bytes, bytes]]) -> list[tuple]:
         keys, many, at = [], [], []
         for _, data, more in held:
             p = risen(more)
@@ -315,97 +421,95 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flag = np.empty(len(a), bool)
         flag[order] = twice[group]
         out = []
-        for (name, _, _), p, f, m in zip(held, at, np.split(flag, np.cumsum(size)[:-1]), many, strict=True):
+        for (chunk, _, _), p, f, m in zip(held, at, np.split(flag, np.cumsum(size)[:-1]), many, strict=True):
             told = p[f & (m == 0)]
             if len(told):
-                out.append((0, name, 0, rising(told), None, None, None))
+                out.append((home_of(chunk, homes), chunk, 0, rising(told)))
         return out
 
-    now, held = None, []
-    for batch in batches:
-        for row in zip(*(taken(batch, c).to_pylist() for c in _SENT), strict=True):
-            if row[0] != now:
-                yield _rows(close(held), _SENT, _SENT_KINDS)
-                now, held = row[0], []
-            if row[2]:
-                yield _rows([row], _SENT, _SENT_KINDS)
-            else:
-                held.append((row[1], row[3], row[4]))
-    yield _rows(close(held), _SENT, _SENT_KINDS)
-
-
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (chunk, kind descending): the documents' removed word spans."""
-
-    def close(layout: tuple, at: list[np.ndarray]) -> pa.RecordBatch:
-        offsets, ids, texts = layout
-        cover = np.zeros(offsets[-1] + 1, np.int64)
-        where = np.unique(np.concatenate(at))
-        np.add.at(cover, where, 1)
-        np.add.at(cover, where + WINDOW, -1)
-        gone = np.cumsum(cover[:-1]) > 0
-        out = []
-        for i in np.unique(np.searchsorted(offsets, where, side="right") - 1).tolist():
-            own = np.concatenate([[False], gone[offsets[i] : offsets[i + 1]], [False]])
-            out.append((ids[i], texts[i], np.flatnonzero(own[1:] != own[:-1]).astype("<i8").tobytes()))
-        return _rows(out, ["doc_id", "text_key", "spans"], [pa.int64(), pa.int64(), pa.binary()])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release()
+        now, held = None, []
+        for batch in batches:
+            for shard, chunk, kind, data, more in zip(*(taken(batch, c).to_pylist() for c in _SENT), strict=True):
+                if shard != now:
+                    yield _rows(close(held), _BACK, _BACK_KINDS)
+                    now, held = shard, []
+                if kind:
+                    yield _rows([(home_of(chunk, homes), chunk, 1, data)], _BACK, _BACK_KINDS)
+                else:
+                    held.append((chunk, data, more))
+        yield _rows(close(held), _BACK, _BACK_KINDS)
 
-    now, layout, at = None, None, []
-    for batch in batches:
-        for _, name, kind, data, more, ids, texts in zip(*(taken(batch, c).to_pylist() for c in _SENT), strict=True):
-            if name != now:
-                if now is not None:
-                    yield close(layout, at)
-                now, at = name, []
-            if kind:
-                layout = (np.frombuffer(more, "<i8"), ids, texts)
-            at.append(risen(data))
-    if now is not None:
-        yield close(layout, at)
-
-
-def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    _release()
-    for batch in batches:
-        out = []
-        for doc_id, text, spans in zip(taken(batch, "doc_id").to_pylist(), column_bytes(batch, "text"), taken(batch, "spans").to_pylist(), strict=True):
-            words, gone = text.split(), 0
-            n = len(words)
-            if spans:
-                edges = np.frombuffer(spans, "<i8").tolist()
-                kept, last = [], 0
-                for lo, hi in zip(edges[::2], edges[1::2], strict=True):
-                    kept += words[last:lo]
-                    gone, last = gone + hi - lo, hi
-                words = kept + words[last:]
-            text = b" ".join(words)
-            out.append((doc_id, n, gone, hashlib.sha256(text).hexdigest(), text.decode()))
-        yield _rows(out, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()])
+    return run
+
+
+def _positions(held: list[bytes]) -> bytes:
+    return rising(np.unique(np.concatenate([risen(x) for x in held])))
+
+
+def _keep(folder: str, removed: str, files: dict[int, str], homes: int):
+    """Documents without the words that their repeated windows cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release()
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        for chunk, ids, texts in _read_chunks(folder, batches):
+            hit = risen(_back(removed, files, chunk, homes) or b"")
+            out, base = [], 0
+            for doc_id, text in zip(ids, texts, strict=True):
+                words, gone = text.split(), 0
+                n = len(words)
+                lo, hi = np.searchsorted(hit, (base, base + n))
+                if hi > lo:
+                    starts = hit[lo:hi] - base
+                    apart = np.flatnonzero(starts[1:] > starts[:-1] + WINDOW) + 1
+                    kept, last = [], 0
+                    for a, b in zip(starts[np.append(0, apart)].tolist(), (starts[np.append(apart - 1, len(starts) - 1)] + WINDOW).tolist(), strict=True):
+                        kept += words[last:a]
+                        gone, last = gone + b - a, b
+                    words = kept + words[last:]
+                base += n
+                kept_text = b" ".join(words)
+                out.append((doc_id, n, gone, hashlib.sha256(kept_text).hexdigest(), kept_text.decode()))
+                if len(out) >= _SLICE:
+                    yield _rows(out, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"], kinds)
+                    out = []
+            yield _rows(out, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"], kinds)
+
+    return run
+
+
+def _files(written: DataFrame) -> dict[int, str]:
+    """One name for each home; there are as many homes as shuffle partitions."""
+    return {r["home"]: r["file"] for r in written.collect()}
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the kept words, joined by one space)."""
     spark = docs.sparkSession
     ship(spark)
-    rows = wanted(docs, doc_id="bigint", text="string").withColumn("text_key", text_key())
-    volume = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    cells = min(MAX_CELLS, max(1 << 16, 4 * (volume // 7)))
-    bits = (cells - 1).bit_length()
-    shards = 1 << max(6, (volume // 7 // 500_000).bit_length())
-    n = parts(spark)
-
-    folder = new_path(spark, "sketch")
-    sketches = rows.mapInArrow(_sketch(bits), "shard bigint, once binary, twice binary")
-    merged = sketches.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_merge(bits, folder), "shard bigint, file string")
-    files = {r["shard"]: r["file"] for r in merged.collect()}  # ROWS * SKETCH_SHARDS names
-
-    sent = rows.mapInArrow(_candidates(folder, files, bits, shards), _SENT_SCHEMA)
-    told = sent.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_repeated, _SENT_SCHEMA)
-    spans = told.repartition(n, "chunk").sortWithinPartitions("chunk", F.desc("kind")).mapInArrow(_spans, "doc_id bigint, text_key bigint, spans binary")
-    spans = spans.groupBy("doc_id", "text_key").agg(F.max("spans").alias("spans"))  # equal for rows of equal id and text
-    spans = spans.select(F.col("doc_id").alias("of"), F.col("text_key").alias("key"), "spans")
-    both = rows.join(spans.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("key")), "left")
-    return both.select("doc_id", "text", "spans").mapInArrow(_keep, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
+    chunks, answers, removed = (new_path(spark, x) for x in ("chunks", "answers", "removed"))
+    homes = parts(spark)
+    listed, _ = stored(wanted(docs, doc_id="bigint", text="string").mapInArrow(_write_chunks(chunks), _LISTED), "listed")
+    total = listed.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
+    bits = max(LEAST_BITS, (CELLS_PER_WORD * total["words"]).bit_length())
+    shards = 1 << max(6, (total["words"] // KEYS_PER_RANGE).bit_length())
+    # at the least as many tasks as the session asks for, and more for a larger corpus; chunks are dealt evenly, a few to a task
+    n = max(homes, total["words"] // TASK_WORDS)
+    dealt = listed.repartition(max(1, min(total["chunks"], 4 * n)))
+
+    sketches = dealt.mapInArrow(_sketch(chunks, bits), _SKETCH_SCHEMA)
+    bitsets = sketches.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_answers(bits, homes), _BACK_SCHEMA)
+    back = bitsets.repartition(n, "home").sortWithinPartitions("home", "chunk", "shard").mapInArrow(_write_back(answers, b"".join), "home bigint, file string")
+    files = _files(back)
+
+    sent = dealt.mapInArrow(_candidates(chunks, answers, files, homes, bits, shards), _SENT_SCHEMA)
+    told = sent.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_repeated(homes), _BACK_SCHEMA)
+    back = told.repartition(n, "home").sortWithinPartitions("home", "chunk").mapInArrow(_write_back(removed, _positions), "home bigint, file string")
+    files = _files(back)
+    delete_path(spark, answers)
+    return dealt.mapInArrow(_keep(chunks, removed, files, homes), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string")
 
 
 def op8_count_min_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
