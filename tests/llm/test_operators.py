@@ -1,7 +1,6 @@
 """The training-data operators against brute force, on rows with nulls, empty and long texts, ties and repeats."""
 
 import hashlib
-import json
 import random
 import re
 import zlib
@@ -288,7 +287,7 @@ def test_html(spark):
         assert got[i]["n_chars"] == len(got[i]["text"])
     assert (got[None]["text"], got[20]["text"], got[21]["text"], got[22]["text"]) == ("", "", "just text", "a\n\nb")
     assert html.main_text(pages.limit(0)).count() == 0
-    w = {r["host"]: json.loads(r["wrapper"]) for r in html.wrappers(pages.where("page_id < 12")).collect()}
+    w = {r["host"]: html.loaded(r["wrapper"]) for r in html.wrappers(pages.where("page_id < 12")).collect()}
     assert "(<p>" in html.expression(w["h1.example"]) and "TEXT" in html.expression(w["h1.example"])
 
 
