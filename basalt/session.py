@@ -24,11 +24,28 @@ def session(master: str = "local[*]", partitions: int = 8, **settings: str) -> S
     return builder.getOrCreate()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables that the session names in ``spark.checkpoint.dir``.
+
+    A session on one machine that names none gets a temporary folder; on a
+    cluster that is an error, as executors wouldn't see the driver's folder.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = known.get() if known.isDefined() else None
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="basalt-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names in ``spark.checkpoint.dir``; a temporary one only where none is named."""
+    """Makes the shared folder the one that checkpoint() writes to."""
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="basalt-"))
+    if not known.isDefined():
+        context.setCheckpointDir(scratch_folder(spark))
     return context._jsc.sc().getCheckpointDir().get()
