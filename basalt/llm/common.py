@@ -1,8 +1,8 @@
 """Shared plumbing of the training-data operators.
 
 Materialised tables go to the shared folder that the session names in
-``spark.checkpoint.dir``; only where that is unset (tests, notebooks) a
-temporary folder is set.  Text columns travel as Arrow batches, and every
+``spark.checkpoint.dir``; only where that is unset on one machine (tests,
+notebooks) a temporary folder is set.  Text columns travel as Arrow batches, and every
 helper turns a null text into empty bytes.
 """
 
@@ -19,23 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SLICE = 256
-
+from basalt.session import scratch_folder
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, as a URI that Spark can write."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = own.get() if own.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="basalt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+_SLICE = 256
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{label}-{uuid.uuid4().hex}"
     atexit.register(_forget, spark, path)
     return path
 

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from basalt.llm.common import column_bytes, parts, ship, stored, table, taken, text_key, wanted
 from basalt.llm.components import components
+from basalt.names import free
 
 SHINGLE = 3
 SEED = 42
@@ -203,13 +204,14 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows repeated with one id and one text are one.
     """
-    own = [F.coalesce("doc_id", F.lit(-(1 << 63))), text_key()]
     marked, known = _grouped(docs)
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__kept_id"), F.col("text_key").alias("__kept_key")))
-    kept = marked.join(known, F.col("fp") == F.col("known")).groupBy("root").agg(best.alias("best")).select("best.__kept_id", "best.__kept_key")
-    rows = docs.withColumns({"__id": own[0], "__key": own[1]})
-    met = rows.join(kept, (F.col("__id") == F.col("__kept_id")) & (F.col("__key") == F.col("__kept_key")), "left_semi")
-    return met.dropDuplicates(["__id", "__key"]).select(*docs.columns)
+    id_, key, kept_id, kept_key = free("id", "key", "kept_id", "kept_key", of=(docs,))
+    no_id = F.lit(-(1 << 63))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), F.coalesce("doc_id", no_id).alias(kept_id), F.col("text_key").alias(kept_key)))
+    kept = marked.join(known, F.col("fp") == F.col("known")).groupBy("root").agg(best.alias("best")).select(f"best.{kept_id}", f"best.{kept_key}")
+    rows = docs.withColumns({id_: F.coalesce(F.col("`doc_id`").cast("bigint"), no_id), key: text_key()})
+    met = rows.join(kept, (F.col(id_) == F.col(kept_id)) & (F.col(key) == F.col(kept_key)), "left_semi")
+    return met.dropDuplicates([id_, key]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
