@@ -2,18 +2,25 @@
 
 Vectors are turned by a fixed random rotation and dealt to the lists of a
 k-means fitted on ``SAMPLE`` rows (those of least hash of their ids).  Every
-row is indexed.  A query probes its nearest lists.  Within a list the rotated
-vectors are read in blocks of ``COLUMNS`` columns: after d of D columns the
-partial squared distance times D/d estimates the whole, and a candidate whose
-estimate exceeds (1 + EPSILON/sqrt(d)) times the query's tenth best distance so
-far is abandoned.  The first such distance comes from ``SEEDS`` rows of the
+row is indexed.  A query probes its nearest lists: as many as hold ``COVERED``
+of the true neighbours of rows of the sample within the sample, which is sparser
+than the table and so asks for more rather than fewer (``Index.probed`` tells
+the number).
+
+Within a list the rotated vectors are read in blocks of ``COLUMNS`` columns, for
+a batch of queries at a time: after d of D columns the partial squared distance
+times D/d estimates the whole, and a candidate whose estimate exceeds
+(1 + EPSILON/sqrt(d)) times the query's tenth best distance so far is abandoned.
+While many candidates are left a block of columns is one matrix product; once few are,
+only they are read on.  The first such distance comes from ``SEEDS`` rows of the
 fitted sample, and the seeds nearest a query are among its found candidates, so
-it has as many as it should whatever is abandoned.  Scores are computed on the original vectors in
-double precision.
+it has as many as it should whatever is abandoned.  Scores are computed on the
+original vectors in double precision.
 
-Lists are split into blocks by the hash of the id, so that one vector held by a
-third of all rows is dealt to many tasks; a task holds one block, and queries
-stream past it.
+Lists are put together to blocks of rows, and a list longer than a block is
+split by the hash of the id, so that one vector held by a third of all rows is
+dealt to many tasks.  A task holds one block; a query's vector is sent once to
+each block that has a list it probes.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components, vectors of another length than the most common one, and rows without
@@ -36,12 +43,16 @@ K = 10
 QUERY_EVERY = 100
 SAMPLE = 8192
 MAX_LISTS = 1024
-#: The share of the lists that a query probes, and the least number.
-PROBED, LEAST_PROBED = 0.6, 16
+#: The share of neighbours that probing is chosen to find in the sample, the rows that tell, and the least number of lists.
+COVERED, TELLING, LEAST_PROBED = 0.98, 512, 16
 COLUMNS = 16
 EPSILON = 2.1
-SLICE = 2048
-SEEDS = 256
+#: Candidates are read on one by one once their share falls below this.
+FEW = 0.2
+BLOCK_ROWS = 32_768
+BATCH = 64
+SLICE = 4096
+SEEDS = 2048
 SEED = 42
 
 
@@ -89,67 +100,148 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 class Block:
-    """One block of a list: its original and rotated vectors."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray):
-        self.ids, self.vectors, self.turned = ids, vectors, vectors @ turn
-
-    def search(self, query_id: int, query: np.ndarray, turned: np.ndarray, bound: float, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        dims = self.turned.shape[1]
-        ids, scores = np.empty(0, np.int64), np.empty(0)
-        # rotation and the sample's bound are rounded: a hair's breadth of slack keeps ties
-        limit = bound * (1 + 1e-9)
-        for lo in range(0, len(self.ids), SLICE):
-            x = self.turned[lo : lo + SLICE]
-            live = np.flatnonzero(self.ids[lo : lo + SLICE] != query_id)
-            partial = np.zeros(len(live))
-            for c in range(0, dims, COLUMNS):
-                d = min(c + COLUMNS, dims)
-                diff = x[live, c:d] - turned[c:d]
+    """Rows of one or more lists: ids, original and rotated vectors, sorted by list."""
+
+    def __init__(self, ids: np.ndarray, lists: np.ndarray, vectors: np.ndarray, turn: np.ndarray):
+        order = np.argsort(lists, kind="stable")
+        self.ids, self.vectors = ids[order], vectors[order]
+        self.turned = self.vectors @ turn
+        found, first = np.unique(lists[order], return_index=True)
+        ends = np.append(first[1:], len(lists))
+        self.span = {li: (a, b) for li, a, b in zip(found.tolist(), first.tolist(), ends.tolist(), strict=True)}
+
+    def _near(self, lo: int, hi: int, turned: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) pairs of rows lo..hi whose distance isn't told to be beyond the query's limit."""
+        x, dims = self.turned[lo:hi], self.turned.shape[1]
+        whole: np.ndarray | None = np.zeros((len(turned), hi - lo))
+        q = r = partial = np.empty(0, np.int64)
+        for c in range(0, dims, COLUMNS):
+            d = min(c + COLUMNS, dims)
+            # rotation and the sample's bound are rounded: a hair's breadth of slack keeps ties
+            factor = 1 + EPSILON / np.sqrt(d) if d < dims else 1 + 1e-9
+            most = (factor * limit) ** 2 * (d / dims) + 1e-18
+            if whole is not None:
+                whole += _squares(turned[:, c:d], x[:, c:d])
+                # a product of matrices rounds more than a difference does
+                live = whole <= most[:, None] + 1e-9 * (1 + whole)
+                if live.mean() < FEW or d == dims:
+                    q, r = np.nonzero(live)
+                    partial, whole = whole[q, r], None
+                else:
+                    whole[~live] = np.inf
+            else:
+                diff = x[r, c:d] - turned[q, c:d]
                 partial = partial + np.einsum("ij,ij->i", diff, diff)
-                factor = 1 + EPSILON / np.sqrt(d) if d < dims else 1 + 1e-9
-                keep = partial * (dims / d) <= (factor * limit) ** 2 + 1e-18
-                live, partial = live[keep], partial[keep]
-                if not len(live):
-                    break
-            if len(live):
-                diff = self.vectors[lo + live] - query
-                ids = np.concatenate([ids, self.ids[lo + live]])
-                scores = np.concatenate([scores, np.sqrt((diff * diff).sum(1))])
-                top = _best(ids, scores, k)
-                ids, scores = ids[top], scores[top]
-                if len(ids) == k:
-                    limit = min(limit, float(scores[-1]) * (1 + 1e-9))
-        return ids, scores
+                live = partial <= most[q] + 1e-9 * (1 + partial)
+                q, r, partial = q[live], r[live], partial[live]
+            if whole is None and not len(q):
+                break
+        return q, r + lo
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, turn: np.ndarray, bounds: np.ndarray, probes: list[list[int]], k: int = K) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and scores of the nearest rows found in the lists that it probes."""
+        turned, limit = queries @ turn, bounds * (1 + 1e-9)
+        found = [(np.empty(0, np.int64), np.empty(0)) for _ in query_ids]
+        asked: dict[int, list[int]] = {}
+        for i, lists in enumerate(probes):
+            for li in lists:
+                asked.setdefault(li, []).append(i)
+        for li, who in asked.items():
+            if li not in self.span:
+                continue
+            start, end = self.span[li]
+            own = np.array(who)
+            for lo in range(start, end, SLICE):
+                q, r = self._near(lo, min(lo + SLICE, end), turned[own], limit[own])
+                q = own[q]
+                other = self.ids[r] != query_ids[q]
+                q, r = q[other], r[other]
+                if not len(q):
+                    continue
+                diff = self.vectors[r] - queries[q]
+                score = np.sqrt((diff * diff).sum(1))
+                cut = np.searchsorted(q, np.unique(q))
+                for i, a, b in zip(q[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(q)], strict=True):
+                    ids, scores = np.concatenate([found[i][0], self.ids[r[a:b]]]), np.concatenate([found[i][1], score[a:b]])
+                    top = _best(ids, scores, k)
+                    found[i] = ids[top], scores[top]
+                    if len(top) == k:
+                        limit[i] = min(limit[i], float(scores[top[-1]]) * (1 + 1e-9))
+        return found
+
+
+def lists_to_probe(sample: np.ndarray, centers: np.ndarray) -> int:
+    """The nearest lists that a query must probe to meet ``COVERED`` of the neighbours that rows of the sample have in it."""
+    some = sample[:TELLING]
+    apart = _squares(some, sample)
+    apart[np.arange(len(some)), np.arange(len(some))] = np.inf
+    k = min(K, len(sample) - 1)
+    if k < 1:
+        return len(centers)
+    near = np.argpartition(apart, k - 1, axis=1)[:, :k]
+    home = _squares(sample, centers).argmin(1)
+    rank = np.empty((len(some), len(centers)), np.int64)
+    np.put_along_axis(rank, _squares(some, centers).argsort(axis=1, kind="stable"), np.arange(len(centers))[None, :], axis=1)
+    needed = np.sort(np.take_along_axis(rank, home[near], axis=1).reshape(-1))
+    return int(needed[int(np.ceil(COVERED * len(needed))) - 1]) + 1
 
 
 class Index:
-    """What every task needs: rotation, centroids, list sizes, and seeds for first bounds."""
+    """What every task needs: rotation, centroids, list sizes, blocks, and seeds for first bounds."""
 
     def __init__(self, sample_ids: np.ndarray, sample: np.ndarray, rows: int):
         self.dims = sample.shape[1]
         lists = int(min(MAX_LISTS, max(1, round(rows**0.5)), len(sample)))
         self.turn, self.centers = rotation(self.dims), centroids(sample, lists)
+        self.probed = min(len(self.centers), max(LEAST_PROBED, lists_to_probe(sample, self.centers)))
         self.ids, self.seeds = sample_ids[:SEEDS], sample[:SEEDS]
         self.sizes = np.zeros(len(self.centers), np.int64)
+        self.first_block = np.zeros(len(self.centers), np.int64)
+        self.splits = np.ones(len(self.centers), np.int64)
+
+    def deal(self, most: int) -> int:
+        """Puts lists together to blocks of about ``most`` rows, and splits longer ones; the number of blocks."""
+        at = held = 0
+        for li, size in enumerate(self.sizes.tolist()):
+            if size > most:
+                at += held > 0
+                self.first_block[li], self.splits[li] = at, -(-size // most)
+                at, held = at + int(self.splits[li]), 0
+            else:
+                if held + size > most:
+                    at, held = at + 1, 0
+                self.first_block[li], held = at, held + size
+        return at + (held > 0)
 
     def nearest_list(self, v: np.ndarray) -> np.ndarray:
         return _squares(v, self.centers).argmin(1)
 
-    def probes(self, v: np.ndarray) -> list[int]:
-        """The nearest lists: the probed share, and on until they hold more than k rows."""
-        order = _squares(v[None, :], self.centers)[0].argsort(kind="stable")
-        least = max(LEAST_PROBED, int(np.ceil(PROBED * len(order))))
-        enough = int(np.searchsorted(np.cumsum(self.sizes[order]), 2 * K + 1)) + 1
-        return order[: max(least, enough)].tolist()
-
-    def first(self, query_id: int, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and distances of the nearest seeds."""
-        diff = self.seeds - v
-        d = np.sqrt((diff * diff).sum(1))
-        other = np.flatnonzero(self.ids != query_id)
-        top = other[_best(self.ids[other], d[other], K)]
-        return self.ids[top], d[top]
+    def probes(self, v: np.ndarray) -> list[dict[int, list[int]]]:
+        """For each vector its lists by block: the nearest ``probed``, and on until they hold more than k rows."""
+        out = []
+        for order in _squares(v, self.centers).argsort(axis=1, kind="stable"):
+            enough = int(np.searchsorted(np.cumsum(self.sizes[order]), 2 * K + 1)) + 1
+            by_block: dict[int, list[int]] = {}
+            for li in order[: max(self.probed, enough)].tolist():
+                if self.sizes[li]:
+                    for s in range(int(self.splits[li])):
+                        by_block.setdefault(int(self.first_block[li]) + s, []).append(li)
+            out.append(by_block)
+        return out
+
+    def first(self, query_ids: np.ndarray, v: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids and distances of each vector's nearest seeds."""
+        near = _squares(v, self.seeds)
+        near[query_ids[:, None] == self.ids[None, :]] = np.inf
+        out = []
+        for row, x in zip(near, v, strict=True):
+            some = np.flatnonzero(row <= np.partition(row, min(2 * K, len(row) - 1))[min(2 * K, len(row) - 1)])
+            some = some[np.isfinite(row[some])]
+            diff = self.seeds[some] - x
+            d = np.sqrt((diff * diff).sum(1))
+            top = _best(self.ids[some], d, K)
+            out.append((self.ids[some][top], d[top]))
+        return out
 
 
 def build_index(rows: DataFrame) -> tuple[DataFrame, Index | None]:
@@ -183,61 +275,78 @@ def nearest(embeddings: DataFrame, k: int = K) -> DataFrame:
     if index is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     n = parts(spark)
-    block = max(256, 2 * int(index.sizes.sum()) // n)
-    splits = np.maximum(1, -(-index.sizes // block))
-    shared = spark.sparkContext.broadcast((index, splits))
+    blocks = index.deal(int(min(BLOCK_ROWS, max(256, 2 * int(index.sizes.sum()) // n))))
+    shared = spark.sparkContext.broadcast(index)  # at most MAX_LISTS centroids and SEEDS rows
+    result = "query_id bigint, vec_id bigint, score double"
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, splits = shared.value
+    def rows_of(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        size = [len(ids) for _, ids, _ in found]
+        q = np.repeat(np.array([i for i, _, _ in found], np.int64), size)
+        ids, scores = (np.concatenate([f[j] for f in found]) if found else np.empty(0, t) for j, t in ((1, np.int64), (2, np.float64)))
+        return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], ["query_id", "vec_id", "score"])
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+        """Queries a few at a time: ids, vectors, and the vectors' bytes."""
         for batch in batches:
+            for lo in range(0, batch.num_rows, BATCH):
+                part = batch.slice(lo, BATCH)
+                yield np.asarray(taken(part, "vec_id")), _matrix(part, shared.value.dims), taken(part, "v").to_pylist()
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.list_(pa.int32()))
+        for ids, v, raw in some(batches):
             rows = []
-            raw = taken(batch, "v").to_pylist()
-            for query_id, data in zip(taken(batch, "vec_id").to_pylist(), raw, strict=True):
-                v = np.frombuffer(data, "<f8")
-                ids, scores = index.first(query_id, v)
-                bound = float(scores[-1]) if len(scores) == K else float("inf")
-                rows += [(li, s, 1, query_id, data, bound) for li in index.probes(v) if index.sizes[li] for s in range(int(splits[li]))]
+            for query_id, data, (near, scores), lists in zip(ids.tolist(), raw, index.first(ids, v), index.probes(v), strict=True):
+                bound = float(scores[-1]) if len(near) == K else float("inf")
+                rows += [(block, 1, query_id, data, bound, own) for block, own in lists.items()]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["list", "salt", "kind", "vec_id", "v", "bound"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["block", "kind", "vec_id", "v", "bound", "lists"])
 
     def seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for query_id, data in zip(taken(batch, "vec_id").to_pylist(), taken(batch, "v").to_pylist(), strict=True):
-                ids, scores = shared.value[0].first(query_id, np.frombuffer(data, "<f8"))
-                out += zip([query_id] * len(ids), ids.tolist(), scores.tolist(), strict=True)
-            q, i, s = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
+        for ids, v, _ in some(batches):
+            yield rows_of([(i, *f) for i, f in zip(ids.tolist(), shared.value.first(ids, v), strict=True)])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value[0]
-        at, ids, vectors, built, out = None, [], [], None, []
+        """Rows sorted by (block, kind): a block's vectors, then the queries that probe it."""
+        index = shared.value
+        at, held, asked, built = None, [], [], None
+
+        def answer() -> pa.RecordBatch:
+            nonlocal held, asked, built
+            if built is None and held:
+                ids, vectors, lists = zip(*held, strict=True)
+                built, held = Block(np.array(ids, np.int64), np.array(lists), np.frombuffer(b"".join(vectors), "<f8").reshape(-1, index.dims), index.turn), []
+            ids, vectors, bounds, lists = zip(*asked, strict=True)
+            asked = []
+            if built is None:
+                return rows_of([])
+            own = np.array(ids, np.int64)
+            found = built.search(own, np.frombuffer(b"".join(vectors), "<f8").reshape(-1, index.dims), index.turn, np.array(bounds), list(lists), k)
+            return rows_of([(i, *f) for i, f in zip(ids, found, strict=True)])
+
         for batch in batches:
-            cols = [taken(batch, c).to_pylist() for c in ("list", "salt", "kind", "vec_id", "v", "bound")]
-            for li, salt, kind, vec_id, data, bound in zip(*cols, strict=True):
-                if (li, salt) != at:
-                    at, ids, vectors, built = (li, salt), [], [], None
-                v = np.frombuffer(data, "<f8")
+            for block, kind, vec_id, data, bound, lists in zip(*(taken(batch, c).to_pylist() for c in ("block", "kind", "vec_id", "v", "bound", "lists")), strict=True):
+                if block != at:
+                    if asked:
+                        yield answer()
+                    at, held, built = block, [], None
                 if not kind:
-                    ids.append(vec_id)
-                    vectors.append(v)
+                    held.append((vec_id, data, lists[0]))
                     continue
-                if built is None and ids:
-                    built = Block(np.array(ids), np.array(vectors), index.turn)
-                if built is not None:
-                    found, scores = built.search(vec_id, v, v @ index.turn, bound, k)
-                    out += zip([vec_id] * len(found), found.tolist(), scores.tolist(), strict=True)
-            q, i, s = zip(*out, strict=True) if out else ((), (), ())
-            out = []
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
-
-    split_of = F.element_at(F.array(*(F.lit(int(s)) for s in splits)), F.col("list") + 1)
-    held = dealt.select("list", F.pmod(F.xxhash64("vec_id"), split_of).cast("int").alias("salt"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(0.0).alias("bound"))
+                asked.append((vec_id, data, bound, lists))
+                if len(asked) >= BATCH:
+                    yield answer()
+        if asked:
+            yield answer()
+
+    # a list's first block and its number of blocks, by the list's number
+    of = lambda numbers: F.element_at(F.array(*(F.lit(int(x)) for x in numbers)), F.col("list") + 1)
+    block = (of(index.first_block) + F.pmod(F.xxhash64("vec_id"), of(index.splits))).cast("int")
+    kept = dealt.select(block.alias("block"), F.lit(0).alias("kind"), "vec_id", "v", F.lit(0.0).alias("bound"), F.array("list").alias("lists"))
     queries = dealt.where(F.col("vec_id") % QUERY_EVERY == 0).select("vec_id", "v")
-    asked = queries.mapInArrow(probe, "list int, salt int, kind int, vec_id bigint, v binary, bound double")
-    met = held.unionByName(asked).repartition(n, "list", "salt").sortWithinPartitions("list", "salt", "kind")
-    result = "query_id bigint, vec_id bigint, score double"
+    asked_of = queries.mapInArrow(probe, "block int, kind int, vec_id bigint, v binary, bound double, lists array<int>")
+    met = kept.unionByName(asked_of).repartition(max(n, blocks), "block").sortWithinPartitions("block", "kind")
     found = met.mapInArrow(search, result).unionByName(queries.mapInArrow(seeded, result))
     once = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
