@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -45,6 +46,11 @@ def for_range(first: int, last: int, body: Callable[[int], DataFrame], by: int =
     return union(*(body(i) for i in range(first, last + (1 if by > 0 else -1), by)))
 
 
+def execute_block(spark: SparkSession, body: str) -> DataFrame:
+    """EXECUTE BLOCK: declarations, IF, WHILE, FOR SELECT, LEAVE, handlers; gives the rows of its last query."""
+    return spark.sql(f"BEGIN {body} END")
+
+
 def set_context(spark: SparkSession, key: str, value: object) -> None:
     """A context variable of the session; SQL reads it by its name."""
     spark.sql(f"DECLARE OR REPLACE VARIABLE `{key}` STRING DEFAULT NULL")
@@ -57,13 +63,42 @@ def get_context(spark: SparkSession, key: str) -> str | None:
 
 
 def gen_uuid(version: int = 4) -> Column:
-    """Version 4, or version 7: the query's time in milliseconds in front of random digits."""
+    """Version 4 is random; 1, 6 and 7 hold the query's time (in units of 100 ns since 1582, or in milliseconds) before random digits; 8 random digits under its mark."""
     if version == 4:
         return F.uuid()
+    text = lambda *parts: F.concat_ws("-", *parts)
+    rest = F.substring(F.uuid(), 20, 17)  # variant and random node
+    ticks = F.lower(F.lpad(F.hex(F.unix_micros(F.current_timestamp()) * 10 + 122_192_928_000_000_000), 15, "0"))
+    cut = lambda a, n: F.substring(ticks, a, n)
+    if version == 1:
+        return text(cut(8, 8), cut(4, 4), F.concat(F.lit("1"), cut(1, 3)), rest)
+    if version == 6:
+        return text(cut(1, 8), cut(9, 4), F.concat(F.lit("6"), cut(13, 3)), rest)
     if version == 7:
         at = F.lower(F.lpad(F.hex(F.unix_millis(F.current_timestamp())), 12, "0"))
-        return F.concat(F.substring(at, 1, 8), F.lit("-"), F.substring(at, 9, 4), F.lit("-7"), F.substring(F.uuid(), 16, 3), F.substring(F.uuid(), 19, 18))
-    raise ValueError("version 4 or 7")
+        return text(F.substring(at, 1, 8), F.substring(at, 9, 4), F.concat(F.lit("7"), F.substring(F.uuid(), 16, 3)), rest)
+    if version == 8:
+        return text(F.substring(F.uuid(), 1, 13), F.concat(F.lit("8"), F.substring(F.uuid(), 16, 3)), rest)
+    raise ValueError("version 1, 4, 6, 7 or 8")
+
+
+def current_user() -> Column:
+    return F.current_user()
+
+
+def current_role() -> Column:
+    """NONE: the catalog of a session has no roles."""
+    return F.lit("NONE")
+
+
+def current_connection(spark: SparkSession) -> Column:
+    """The session's number within its application."""
+    return F.lit(f"{spark.sparkContext.applicationId}/{spark._jsparkSession.sessionUUID()}")
+
+
+def current_transaction(spark: SparkSession) -> Column:
+    """Every query reads its own snapshot; it is numbered by the moment at which it was built."""
+    return F.lit(time.time_ns())
 
 
 def bind(df: DataFrame, rules: dict[str, str]) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from decimal import ROUND_HALF_EVEN, Decimal
+from collections.abc import Callable
+from decimal import ROUND_HALF_EVEN, Context, Decimal, InvalidOperation
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
@@ -43,13 +45,13 @@ def similar_pattern(pattern: str, escape: str | None = None) -> str:
 
 
 def similar_to(text: Column, pattern: str, escape: str | None = None) -> Column:
-    return text.rlike(f"^(?:{similar_pattern(pattern, escape)})$")
+    return text.rlike(rf"\A(?:{similar_pattern(pattern, escape)})\z")
 
 
 def substring_similar(text: Column, pattern: str, escape: str) -> Column:
     """SUBSTRING(text SIMILAR a#"b#"c ESCAPE #): what the middle part matches."""
     first, middle, last = pattern.split(escape + '"')
-    regex = f"^({similar_pattern(first, escape)})({similar_pattern(middle, escape)})({similar_pattern(last, escape)})$".replace("[\\s\\S]*)", "[\\s\\S]*?)", 1)
+    regex = rf"\A({similar_pattern(first, escape)})({similar_pattern(middle, escape)})({similar_pattern(last, escape)})\z".replace("[\\s\\S]*)", "[\\s\\S]*?)", 1)
     return F.when(text.rlike(regex), F.regexp_extract(text, regex, 2))
 
 
@@ -61,16 +63,16 @@ def trim_text(text: Column, part: str = " ", side: str = "both") -> Column:
     """TRIM removes whole repeats of a text, not a set of characters."""
     q = re.escape(part)
     if side in ("both", "leading"):
-        text = F.regexp_replace(text, f"^(?:{q})+", "")
-    return F.regexp_replace(text, f"(?:{q})+$", "") if side in ("both", "trailing") else text
+        text = F.regexp_replace(text, rf"\A(?:{q})+", "")
+    return F.regexp_replace(text, rf"(?:{q})+\z", "") if side in ("both", "trailing") else text
 
 
 def trim_set(text: Column, chars: str = " ", side: str = "both") -> Column:
     """BTRIM, LTRIM, RTRIM: characters of a set."""
     q = "[" + "".join(re.escape(c) if c not in "^]" else "\\" + c for c in chars) + "]+"
     if side in ("both", "leading"):
-        text = F.regexp_replace(text, "^" + q, "")
-    return F.regexp_replace(text, q + "$", "") if side in ("both", "trailing") else text
+        text = F.regexp_replace(text, r"\A" + q, "")
+    return F.regexp_replace(text, q + r"\z", "") if side in ("both", "trailing") else text
 
 
 def decode(value: Column, *pairs, default=None) -> Column:
@@ -81,6 +83,11 @@ def decode(value: Column, *pairs, default=None) -> Column:
     return out
 
 
+def iif(condition: Column, then: Column, otherwise: Column) -> Column:
+    """IIF: an unknown condition takes the second value."""
+    return F.when(condition, then).otherwise(otherwise)
+
+
 def max_value(*cols: Column) -> Column:
     """Null if any argument is; greatest() skips nulls."""
     return F.when(_any_null(cols), None).otherwise(F.greatest(*cols))
@@ -97,12 +104,38 @@ def _any_null(cols) -> Column:
     return out
 
 
-def trunc_number(x: Column, scale: int = 0) -> Column:
-    """Towards zero, by decimal arithmetic."""
-    shift = F.lit(Decimal(10) ** abs(scale)).cast("decimal(20,0)")
-    d = x.cast("decimal(38,10)")
-    cut = F.floor(F.abs(d) * shift) / shift if scale >= 0 else F.floor(F.abs(d) / shift) * shift
-    return (F.signum(x) * cut.cast("double")).cast("double")
+def trunc_number(x: Column, scale: int = 0, kind: str = "double") -> Column:
+    """Towards zero at a decimal place, in the type ``kind`` of x.
+
+    A double is cut as the decimal number that it is written as; from 1e18 on it
+    has no fraction, and is cut by a remainder.
+    """
+    d = x if kind.startswith("decimal") else F.abs(x).try_cast("decimal(38,18)")
+    down = F.when(x < 0, -F.floor(F.abs(d), F.lit(scale))).otherwise(F.floor(F.abs(d), F.lit(scale))).cast(kind)
+    if kind.startswith("decimal"):
+        return down
+    return F.when(F.abs(x) < 1e18, down).otherwise(x - x % (10.0**-scale) if scale < 0 else x)
+
+
+def log(base: Column, x: Column) -> Column:
+    """LOG(b, x)."""
+    return F.ln(x) / F.ln(base)
+
+
+def rand() -> Column:
+    """RAND(): from 0 to below 1."""
+    return F.rand()
+
+
+def current_timestamp(digits: int = 3, local: bool = False) -> Column:
+    """CURRENT_TIMESTAMP(p), or LOCALTIMESTAMP(p) without a zone: the same moment in all rows of a query, cut to p digits."""
+    cut = F.timestamp_micros(F.floor(F.unix_micros(F.current_timestamp()) / F.lit(10 ** (6 - digits))).cast("bigint") * 10 ** (6 - digits))
+    return cut.cast("timestamp_ntz") if local else cut
+
+
+def current_time(digits: int = 0) -> Column:
+    """CURRENT_TIME(p) and LOCALTIME(p), as hh:mm:ss with p digits."""
+    return F.date_format(current_timestamp(digits), "HH:mm:ss" + ("." + "S" * digits if digits else ""))
 
 
 def int_div(a: Column, b: Column) -> Column:
@@ -143,8 +176,18 @@ def datediff(unit: str, a: Column, b: Column) -> Column:
     return (F.timestamp_diff("SECOND", F.date_trunc(unit, a), F.date_trunc(unit, b)) / seconds[unit]).cast("bigint")
 
 
-def extract(part: str, x: Column, weekday_base: int = 0, yearday_base: int = 0) -> Column:
-    """WEEKDAY counts from Sunday and YEARDAY from the first of January, both from 0 unless said."""
+def in_zone(x: Column, zone: str) -> Column:
+    """The wall time in a zone of a moment given in UTC (TIMESTAMP WITH TIME ZONE is kept as a moment and a zone)."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), x.cast("timestamp_ntz"))
+
+
+def zone_minutes(x: Column, zone: str) -> Column:
+    """Minutes that a zone is ahead of UTC at a moment."""
+    return F.timestamp_diff("MINUTE", x.cast("timestamp_ntz"), in_zone(x, zone))
+
+
+def extract(part: str, x: Column, weekday_base: int = 0, yearday_base: int = 0, zone: str = "UTC") -> Column:
+    """WEEKDAY counts from Sunday and YEARDAY from the first of January, both from 0 unless said; x is in UTC where a zone is asked for."""
     part = part.upper()
     if part == "WEEKDAY":
         return F.dayofweek(x) - 1 + weekday_base
@@ -154,6 +197,11 @@ def extract(part: str, x: Column, weekday_base: int = 0, yearday_base: int = 0)
         return (F.date_part(F.lit("SECOND"), x).cast("decimal(18,6)") * 1000 % 1000).cast("int")
     if part == "SECOND":
         return F.second(x)
+    if part in ("TIMEZONE_HOUR", "TIMEZONE_MINUTE"):
+        minutes = zone_minutes(x, zone)
+        return (F.signum(minutes) * F.floor(F.abs(minutes) / 60) if part == "TIMEZONE_HOUR" else minutes % 60).cast("int")
+    if part == "TIMEZONE_NAME":
+        return F.lit(zone)
     return F.date_part(F.lit(part), x).cast("int")
 
 
@@ -171,97 +219,173 @@ def last_day(unit: str, x: Column) -> Column:
     return F.date_sub(F.add_months(F.trunc(x, unit), months), 1)
 
 
-# The format patterns, longest first, each with its expression's name.
+# The format patterns, and names of months.
 _PATTERNS = "YEAR YYYYY YYYY YYY YY Y Q MONTH MON MM RM WW W DAY DY DDD DD D J HH24 HH12 HH MI SSSSS SS FF1 FF2 FF3 FF4 FF5 FF6 FF7 FF8 FF9 TZH TZM TZR A.M. P.M. AM PM".split()
-_ORDERED = sorted(_PATTERNS, key=len, reverse=True)
+_PARSED = "YEAR YYYY YYY YY Y RRRR RR MONTH MON MM RM DD J HH24 HH12 HH MI SSSSS SS FF1 FF2 FF3 FF4 TZH TZM TZR A.M. P.M. AM PM".split()
+_ROMAN = "I II III IV V VI VII VIII IX X XI XII".split()
+_MONTHS = "JANUARY FEBRUARY MARCH APRIL MAY JUNE JULY AUGUST SEPTEMBER OCTOBER NOVEMBER DECEMBER".split()
 
 
-def format_tokens(pattern: str) -> list[tuple[str, str]]:
-    """('raw', text) and ('p', pattern) parts; the longest pattern wins, quoted text is raw."""
-    out, i = [], 0
+def format_tokens(pattern: str, known: list[str] = _PATTERNS) -> list[tuple[str, str]]:
+    """('raw', text) and ('p', pattern) parts; the longest pattern wins, quoted text is raw and may hold \\" and \\\\."""
+    out, i, ordered = [], 0, sorted(known, key=len, reverse=True)
     while i < len(pattern):
         if pattern[i] == '"':
-            end = pattern.index('"', i + 1)
-            out.append(("raw", pattern[i + 1 : end]))
-            i = end + 1
+            m = re.compile(r'"((?:[^"\\]|\\.)*)"', re.DOTALL).match(pattern, i)
+            if not m:
+                raise ValueError(f"an open quote in {pattern!r}")
+            out.append(("raw", re.sub(r"\\(.)", r"\1", m[1])))
+            i = m.end()
             continue
-        found = next((p for p in _ORDERED if pattern[i : i + len(p)].upper() == p), None)
+        found = next((p for p in ordered if pattern[i : i + len(p)].upper() == p), None)
         out.append(("p", found) if found else ("raw", pattern[i]))
         i += len(found) if found else 1
     return out
 
 
-def format_datetime(x: Column, pattern: str) -> Column:
-    """CAST(x AS VARCHAR FORMAT pattern)."""
+def _of(texts: list[str], number: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, texts)), number)
+
+
+def format_datetime(x: Column, pattern: str, zone: str | None = None) -> Column:
+    """CAST(x AS VARCHAR FORMAT pattern); with a zone, x is a moment in UTC that is shown in it."""
+    ahead = zone_minutes(x, zone) if zone else F.lit(0)
+    x = in_zone(x, zone) if zone else x
     d = lambda f: F.date_format(x, f)
-    roman = F.element_at(F.array(*(F.lit(r) for r in "I II III IV V VI VII VIII IX X XI XII".split())), F.month(x))
-    seconds = (F.hour(x) * 3600 + F.minute(x) * 60 + F.second(x)).cast("string")
-    fraction = F.date_format(x, "SSSSSS")
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    fraction = F.rpad(F.date_format(x, "SSSSSS"), 9, "0")
+    half = F.when(F.hour(x) < 12, "A.M.").otherwise("P.M.")
     known = {
-        "YEAR": d("yyyy"), "YYYY": d("yyyy"), "YYYYY": d("yyyyy"), "YYY": F.right(d("yyyy"), F.lit(3)), "YY": d("yy"), "Y": F.right(d("yyyy"), F.lit(1)),
-        "Q": F.quarter(x).cast("string"), "MM": d("MM"), "MON": F.upper(d("MMM")), "MONTH": F.upper(d("MMMM")), "RM": roman,
-        "WW": F.lpad((F.floor((F.dayofyear(x) - 1) / 7) + 1).cast("string"), 2, "0"), "W": (F.floor((F.dayofmonth(x) - 1) / 7) + 1).cast("string"),
-        "D": F.dayofweek(x).cast("string"), "DAY": F.upper(d("EEEE")), "DY": F.upper(d("EEE")), "DD": d("dd"), "DDD": d("DDD"),
+        "YEAR": F.year(x).cast("string"), "YYYYY": d("yyyyy"), "YYYY": d("yyyy"), "YYY": F.right(d("yyyy"), F.lit(3)), "YY": d("yy"), "Y": F.right(d("yyyy"), F.lit(1)),
+        "Q": F.quarter(x).cast("string"), "MM": d("MM"), "MON": d("MMM"), "MONTH": F.upper(d("MMMM")), "RM": _of(_ROMAN, F.month(x)),
+        "WW": two(F.floor((F.dayofyear(x) - 1) / 7) + 1), "W": (F.floor((F.dayofmonth(x) - 1) / 7) + 1).cast("string"),
+        "D": F.dayofweek(x).cast("string"), "DAY": F.upper(d("EEEE")), "DY": d("EEE"), "DD": d("dd"), "DDD": d("DDD"),
         "J": (F.datediff(x, F.lit("1970-01-01").cast("date")) + 2440588).cast("string"),
-        "HH": d("hh"), "HH12": d("hh"), "HH24": d("HH"), "MI": d("mm"), "SS": d("ss"), "SSSSS": seconds,
-        "AM": F.upper(d("a")), "PM": F.upper(d("a")), "A.M.": F.when(F.hour(x) < 12, "A.M.").otherwise("P.M."), "P.M.": F.when(F.hour(x) < 12, "A.M.").otherwise("P.M."),
+        "HH": d("hh"), "HH12": d("hh"), "HH24": d("HH"), "MI": d("mm"), "SS": d("ss"), "SSSSS": (F.hour(x) * 3600 + F.minute(x) * 60 + F.second(x)).cast("string"),
+        "AM": F.replace(half, F.lit("."), F.lit("")), "A.M.": half,
+        "TZH": F.concat(F.when(ahead < 0, "-").otherwise("+"), two(F.floor(F.abs(ahead) / 60))), "TZM": two(F.abs(ahead) % 60), "TZR": F.lit(zone or "UTC"),
     }
-    known |= {f"FF{n}": F.rpad(F.substring(fraction, 1, n), n, "0") for n in range(1, 10)}
-    known |= {"TZH": F.lit("+00"), "TZM": F.lit("00"), "TZR": F.lit("UTC")}
+    known |= {"PM": known["AM"], "P.M.": half} | {f"FF{n}": F.substring(fraction, 1, n) for n in range(1, 10)}
     return F.concat(*(F.lit(v) if k == "raw" else known[v] for k, v in format_tokens(pattern)), F.lit(""))
 
 
-_PARSED = {"YYYY": (r"(\d{4})", "y"), "YEAR": (r"(\d{4})", "y"), "RR": (r"(\d{2})", "rr"), "RRRR": (r"(\d{4})", "y"), "MM": (r"(\d{1,2})", "mo"), "MON": (r"([A-Za-z]{3})", "mon"), "DD": (r"(\d{1,2})", "d"), "HH24": (r"(\d{1,2})", "h"), "HH12": (r"(\d{1,2})", "h12"), "HH": (r"(\d{1,2})", "h12"), "MI": (r"(\d{1,2})", "mi"), "SS": (r"(\d{1,2})", "s"), "AM": (r"([AaPp][Mm])", "half"), "PM": (r"([AaPp][Mm])", "half")}
-
-
-def parse_datetime(text: Column, pattern: str, this_year: int) -> Column:
-    """CAST(text AS TIMESTAMP FORMAT pattern); RR is the year of two digits nearest by the 50 rule to ``this_year``."""
-    regex, at, i, groups = "", {}, 0, 0
-    while i < len(pattern):
-        name = next((p for p in sorted(_PARSED, key=len, reverse=True) if pattern[i : i + len(p)].upper() == p), None)
-        if name:
-            groups += 1
-            regex += _PARSED[name][0]
-            at[_PARSED[name][1]] = groups
-            i += len(name)
-        else:
-            regex += re.escape(pattern[i])
-            i += 1
-    part = lambda k, default: F.regexp_extract(text, f"^{regex}$", at[k]).cast("int") if k in at else F.lit(default)
-    year = part("y", this_year)
-    if "rr" in at:
-        two, century, low = part("rr", 0), this_year // 100 * 100, this_year % 100 < 50
-        year = F.when(two < 50, two + (century if low else century + 100)).otherwise(two + (century - 100 if low else century))
-    month = part("mo", 1)
-    if "mon" in at:
-        month = F.array_position(F.array(*(F.lit(m) for m in "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split())), F.upper(F.regexp_extract(text, f"^{regex}$", at["mon"]))).cast("int")
-    hour = part("h", 0)
-    if "h12" in at:
-        late = F.upper(F.regexp_extract(text, f"^{regex}$", at["half"])) == "PM" if "half" in at else F.lit(False)
-        hour = part("h12", 0) % 12 + F.when(late, 12).otherwise(0)
-    return F.when(text.rlike(f"^{regex}$"), F.make_timestamp_ntz(year, month, part("d", 1), hour, part("mi", 0), part("s", 0).cast("decimal(16,6)")))
+def parse_datetime(text: Column, pattern: str, today: Column | None = None) -> Column:
+    """CAST(text AS TIMESTAMP FORMAT pattern); null if the text doesn't fit it or names no real time.
+
+    Years, months and days that the pattern lacks are today's; short years take
+    their first digits from it, and RR the century within fifty years of it.  With
+    TZH, TZM or TZR the result is the moment in UTC.
+    """
+    today = F.current_date() if today is None else today
+    digits = {"YEAR": r"(\d{1,4})", "YYYY": r"(\d{1,4})", "YYY": r"(\d{1,3})", "YY": r"(\d{1,2})", "Y": r"(\d)", "RR": r"(\d{1,2})", "RRRR": r"(\d{4}|\d{1,2})", "J": r"(\d{1,7})", "SSSSS": r"(\d{1,5})", "TZH": r"([+-]?\d{1,2})"}
+    words = {"MON": "(" + "|".join(m[:3] for m in _MONTHS) + ")", "MONTH": "(" + "|".join(_MONTHS) + ")", "RM": "(" + "|".join(sorted(_ROMAN, key=len, reverse=True)) + ")", "TZR": r"([A-Za-z][A-Za-z0-9_/+-]*|[+-]\d{1,2}:\d{2})"}
+    words |= {p: r"([AP]\.?M\.?)" for p in ("AM", "PM", "A.M.", "P.M.")} | {f"FF{n}": rf"(\d{{1,{n}}})" for n in range(1, 5)}
+    regex, at = r"(?i)\A\s*", {}
+    for kind, v in format_tokens(pattern, _PARSED):
+        if kind == "raw":
+            regex += re.escape(v)
+            continue
+        regex += (digits | words).get(v, r"(\d{1,2})")
+        at["half" if v.strip("AP.") == "M" or v in ("A.M.", "P.M.") else "FF" if v.startswith("FF") else v] = len(at) + 1
+    regex += r"\s*\z"
+    raw = lambda p: F.regexp_extract(text, regex, at[p])
+    number = lambda p: raw(p).try_cast("int")
+    now, year = F.year(today), F.year(today)
+    for name, size in (("YEAR", 10_000), ("YYYY", 10_000), ("YYY", 1000), ("YY", 100), ("Y", 10)):
+        if name in at:
+            year = now - now % size + number(name)
+    for name in ("RR", "RRRR"):
+        if name in at:
+            century = now - now % 100 + F.when((number(name) < 50) & (now % 100 >= 50), 100).when((number(name) >= 50) & (now % 100 < 50), -100).otherwise(0)
+            year = F.when(F.length(raw(name)) > 2, number(name)).otherwise(century + number(name))
+    month, day = F.month(today), number("DD") if "DD" in at else F.dayofmonth(today)
+    if "MM" in at:
+        month = number("MM")
+    for name, texts in (("MON", [m[:3] for m in _MONTHS]), ("MONTH", _MONTHS), ("RM", _ROMAN)):
+        if name in at:
+            month = F.array_position(F.array(*map(F.lit, texts)), F.upper(raw(name))).cast("int")
+    if "J" in at:
+        date = F.date_add(F.lit("1970-01-01").cast("date"), number("J") - 2440588)
+        year, month, day = F.year(date), F.month(date), F.dayofmonth(date)
+    hour, minute, second = (number(p) if p in at else F.lit(0) for p in ("HH24", "MI", "SS"))
+    for name in ("HH", "HH12"):
+        if name in at:
+            hour = number(name) % 12 + (F.when(F.upper(raw("half")).startswith("P"), 12).otherwise(0) if "half" in at else F.lit(0))
+    if "SSSSS" in at:
+        hour, minute, second = (F.floor(number("SSSSS") / 3600).cast("int"), (F.floor(number("SSSSS") / 60) % 60).cast("int"), number("SSSSS") % 60)
+    micros = F.rpad(raw("FF"), 6, "0").try_cast("int") if "FF" in at else F.lit(0)
+    out = F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(16,6)") + micros.cast("decimal(16,6)") / 1_000_000)
+    if "TZR" in at:
+        named = F.convert_timezone(F.when(raw("TZR") == "", "UTC").otherwise(raw("TZR")), F.lit("UTC"), out)
+        out = F.when(text.rlike(regex), named)
+    elif "TZH" in at:
+        minutes = number("TZH") * 60 + (F.when(raw("TZH").startswith("-"), -1).otherwise(1) * number("TZM") if "TZM" in at else F.lit(0))
+        out = out - F.make_dt_interval(mins=minutes)
+    return F.when(text.rlike(regex), out)
 
 
 def _without(entries: Column, others: Column) -> Column:
     return F.map_filter(entries, lambda k, v: ~F.map_contains_key(others, k))
 
 
+_ENTRIES = "map<string,variant>"
+
+
+def json_value(value: Column) -> Column:
+    """A column as a JSON value of its own type; null as JSON null."""
+    return F.from_json(F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"}), _ENTRIES)["v"]
+
+
+def json_object(**values: Column) -> Column:
+    """JSON_OBJECT(KEY k VALUE v, ...); null values are kept as JSON null."""
+    return F.to_json(F.struct(*(v.alias(k) for k, v in values.items())), {"ignoreNullFields": "false"})
+
+
+def json_array(*values: Column) -> Column:
+    """JSON_ARRAY(v, ...): values of any types, nulls as JSON null."""
+    return F.to_json(F.array(*map(json_value, values)))
+
+
+def json_extract(doc: Column, path: str) -> Column:
+    """JSON_EXTRACT: the value at a path as text, null if it isn't there."""
+    return F.get_json_object(doc, path)
+
+
 def json_merge(*docs: Column) -> Column:
-    """Shallow: later keys win."""
-    out = F.from_json(docs[0], "map<string,string>")
+    """JSON_MERGE: one object with the keys of all, later ones win whole; values keep their JSON types."""
+    out = F.from_json(docs[0], _ENTRIES)
     for d in docs[1:]:
-        late = F.from_json(d, "map<string,string>")
+        late = F.from_json(d, _ENTRIES)
         out = F.map_concat(_without(out, late), late)
-    return F.to_json(out)
+    return F.to_json(out, {"ignoreNullFields": "false"})
 
 
-def json_set(doc: Column, key: str, value: Column) -> Column:
-    """Sets a key of the top level."""
-    return json_merge(doc, F.to_json(F.create_map(F.lit(key), value.cast("string"))))
+def json_set(doc: Column, path: str, value: Column, *more) -> Column:
+    """JSON_SET(doc, path, value, ...): sets keys at paths ``$.a.b``; objects on the way are made where they are missing."""
+    keys = [k for k in path.removeprefix("$").split(".") if k]
+    out = F.to_json(_entries_with(F.from_json(doc, _ENTRIES), keys, json_value(value)), {"ignoreNullFields": "false"})
+    return json_set(out, *more) if more else out
+
+
+def _entries_with(entries: Column, keys: list[str], value: Column) -> Column:
+    if len(keys) > 1:
+        inner = F.coalesce(F.try_element_at(entries, F.lit(keys[0])).try_cast(_ENTRIES), F.map_from_arrays(F.array().cast("array<string>"), F.from_json(F.lit("[]"), "array<variant>")))
+        value = F.parse_json(F.to_json(_entries_with(inner, keys[1:], value), {"ignoreNullFields": "false"}))
+    return F.map_concat(F.map_filter(entries, lambda k, _: k != keys[0]), F.create_map(F.lit(keys[0]), value))
 
 
 def json_valid(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
+    """Whether a text is one JSON value and nothing more; null for null."""
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).try_cast("array<variant>")
+    return F.when(text.isNotNull(), F.try_parse_json(text).isNotNull() & F.coalesce(F.size(alone) == 1, F.lit(False)))
+
+
+def hex_decode(text: Column) -> Column:
+    return F.unhex(text)
+
+
+def base64_decode(text: Column) -> Column:
+    return F.unbase64(text)
 
 
 def char_to_uuid(text: Column) -> Column:
@@ -273,28 +397,37 @@ def uuid_to_char(value: Column) -> Column:
     return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
 
 
-@F.udf(StringType())
-def quantize(value: str | None, like: str | None) -> str | None:
-    """QUANTIZE on decimal floating point, by decimal arithmetic in Python."""
-    if value is None or like is None:
-        return None
-    return str(Decimal(value).quantize(Decimal(like), rounding=ROUND_HALF_EVEN))
+# Decimal floating point has no type of its own here: texts, 34 digits, computed a batch at a time.  What is no number gives null.
+_DIGITS = Context(prec=34, rounding=ROUND_HALF_EVEN)
+
+
+def _each(f: Callable, *columns: pd.Series) -> pd.Series:
+    def one(*texts):
+        try:
+            return f(*map(Decimal, texts)) if all(isinstance(t, str) for t in texts) else None
+        except InvalidOperation:
+            return None
+
+    return pd.Series(list(map(one, *columns)), dtype=object)
+
+
+@F.pandas_udf(StringType())
+def quantize(value: pd.Series, like: pd.Series) -> pd.Series:
+    """QUANTIZE: ``value`` with the exponent of ``like``."""
+    return _each(lambda x, y: str(x.quantize(y, context=_DIGITS)), value, like)
 
 
-@F.udf(StringType())
-def normalize_decfloat(value: str | None) -> str | None:
-    return None if value is None else str(Decimal(value).normalize())
+@F.pandas_udf(StringType())
+def normalize_decfloat(value: pd.Series) -> pd.Series:
+    return _each(lambda x: str(x.normalize(_DIGITS)), value)
 
 
-@F.udf(IntegerType())
-def compare_decfloat(a: str | None, b: str | None) -> int | None:
+@F.pandas_udf(IntegerType())
+def compare_decfloat(a: pd.Series, b: pd.Series) -> pd.Series:
     """0 equal, 1 less, 2 greater, 3 unordered."""
-    if a is None or b is None:
-        return None
-    x, y = Decimal(a), Decimal(b)
-    return 3 if x.is_nan() or y.is_nan() else 0 if x == y else 1 if x < y else 2
+    return _each(lambda x, y: 3 if x.is_nan() or y.is_nan() else 0 if x == y else 1 if x < y else 2, a, b).astype("Int32")
 
 
-@F.udf(IntegerType())
-def total_order(a: str | None, b: str | None) -> int | None:
-    return None if a is None or b is None else int(Decimal(a).compare_total(Decimal(b)))
+@F.pandas_udf(IntegerType())
+def total_order(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _each(lambda x, y: int(x.compare_total(y)), a, b).astype("Int32")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+
+from basalt.names import free
 
 # --- ranges: struct<lower, upper, lower_inc, upper_inc, empty>; a null bound is infinite
 
@@ -35,7 +36,7 @@ def parse_range(text: Column, kind: str = "bigint") -> Column:
 
 def range_text(r: Column) -> Column:
     body = F.concat(F.when(r["lower_inc"], "[").otherwise("("), F.coalesce(r["lower"].cast("string"), F.lit("")), F.lit(","), F.coalesce(r["upper"].cast("string"), F.lit("")), F.when(r["upper_inc"], "]").otherwise(")"))
-    return F.when(r["empty"], "empty").otherwise(body)
+    return F.when(r["empty"], "empty").when(~r["empty"], body)
 
 
 def range_contains(r: Column, x: Column) -> Column:
@@ -57,6 +58,14 @@ def range_left(a: Column, b: Column) -> Column:
     return ~a["empty"] & ~b["empty"] & F.coalesce(apart, F.lit(False))
 
 
+def range_compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: empty first, then by lower bound (infinite first, inclusive before exclusive), then by upper bound (infinite last)."""
+    low = lambda r: F.struct(~r["empty"], r["lower"].isNotNull(), r["lower"], ~r["lower_inc"])
+    up = lambda r: F.struct(r["upper"].isNull(), r["upper"], r["upper_inc"])
+    x, y = F.struct(low(a), up(a)), F.struct(low(b), up(b))
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(x < y, -1).when(x > y, 1).otherwise(0))
+
+
 def range_right(a: Column, b: Column) -> Column:
     return range_left(b, a)
 
@@ -87,97 +96,170 @@ def range_union(a: Column, b: Column) -> Column:
     return F.when(a["empty"], b).when(b["empty"], a).when(range_overlaps(a, b) | range_adjacent(a, b), both)
 
 
-# --- network addresses: IPv4 as a number, text as given; IPv6 by a key of 16 bytes
+# --- network addresses: text as given; a key of 32 hexadecimal digits orders both families and masks as one number
 
 
 def host(inet: Column) -> Column:
     return F.substring_index(inet, "/", 1)
 
 
+def is_ip6(inet: Column) -> Column:
+    return inet.contains(":")
+
+
 def mask_length(inet: Column) -> Column:
-    given = F.try_element_at(F.split(inet, "/"), F.lit(2)).cast("int")
-    return F.coalesce(given, F.when(inet.contains(":"), 128).otherwise(32))
+    given = F.try_element_at(F.split(inet, "/"), F.lit(2)).try_cast("int")
+    return F.coalesce(given, F.when(is_ip6(inet), 128).otherwise(32))
+
+
+def _ip4_key(text: Column) -> Column:
+    """Eight digits; null unless there are four octets up to 255."""
+    octets = F.transform(F.split(text, r"\."), lambda x: x.try_cast("int"))
+    fine = text.rlike(r"\A\d{1,3}(\.\d{1,3}){3}\z") & F.forall(octets, lambda x: x <= 255)
+    return F.when(fine, F.array_join(F.transform(octets, lambda x: F.lower(F.lpad(F.hex(x.cast("bigint")), 2, "0"))), ""))
+
+
+_MAPPED = "0" * 20 + "f" * 4
+
+
+def _ip6_key(text: Column) -> Column:
+    """32 digits; ``::`` stands for the zero groups that are missing, and the last two groups may be an IPv4 address."""
+    tail = F.regexp_extract(text, r"(\d+\.\d+\.\d+\.\d+)\z", 1)
+    four = _ip4_key(tail)
+    plain = F.when(tail == "", text).otherwise(F.concat(F.left(text, F.length(text) - F.length(tail)), F.substring(four, 1, 4), F.lit(":"), F.substring(four, 5, 4)))
+    sides = F.split(plain, "::")
+    groups = lambda side: F.filter(F.split(F.coalesce(F.try_element_at(sides, F.lit(side)), F.lit("")), ":"), lambda g: g != "")
+    missing = 8 - F.size(groups(1)) - F.size(groups(2))
+    whole = F.concat(groups(1), F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), groups(2))
+    shape = r"\A(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?)\z"
+    fine = plain.rlike(shape) & F.when(plain.contains("::"), missing >= 1).otherwise(F.lit(True))
+    return F.when(fine, F.array_join(F.transform(whole, lambda g: F.lower(F.lpad(g, 4, "0"))), ""))
+
+
+def inet_key(inet: Column) -> Column:
+    """32 hexadecimal digits that order and compare addresses; IPv4 as ::ffff:a.b.c.d, null if it is no address."""
+    text = host(inet)
+    key = F.when(is_ip6(text), _ip6_key(text)).otherwise(F.concat(F.lit(_MAPPED), _ip4_key(text)))
+    return F.when(mask_length(inet).between(0, F.when(is_ip6(inet), 128).otherwise(32)), key)
 
 
-def ip4_number(inet: Column) -> Column:
-    """The address as a number; null unless it is IPv4 with octets up to 255."""
-    octets = F.transform(F.split(host(inet), r"\."), lambda x: x.try_cast("bigint"))
-    fine = inet.rlike(r"^\d{1,3}(\.\d{1,3}){3}(/\d{1,2})?$") & F.forall(octets, lambda x: x.between(0, 255))
-    return F.when(fine, F.aggregate(octets, F.lit(0).cast("bigint"), lambda a, x: a * 256 + x))
+def inet_family(inet: Column) -> Column:
+    """4 or 6; null if it is no address."""
+    return F.when(inet_key(inet).isNotNull(), F.when(is_ip6(inet), 6).otherwise(4))
 
 
-def ip4_text(number: Column) -> Column:
-    return F.concat_ws(".", *(F.shiftright(number, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)))
+def inet_compare(a: Column, b: Column) -> Column:
+    """-1, 0 or 1: IPv4 before IPv6, then by number."""
+    x, y = F.struct(inet_family(a), inet_key(a)), F.struct(inet_family(b), inet_key(b))
+    return F.when(inet_key(a).isNotNull() & inet_key(b).isNotNull(), F.when(x < y, -1).when(x > y, 1).otherwise(0))
 
 
-def _masked(number: Column, length: Column) -> Column:
-    return number - number % F.pow(F.lit(2), 32 - length).cast("bigint")
+def _bits(inet: Column, length: Column | None = None) -> Column:
+    """The prefix length counted in the key."""
+    n = mask_length(inet) if length is None else length
+    return n + F.when(is_ip6(inet), 0).otherwise(96)
+
+
+def _masked(key: Column, bits: Column, fill: str = "0") -> Column:
+    """The first ``bits`` bits of a key, the others 0, or 1 for fill f."""
+    whole, part = F.floor(bits / 4).cast("int"), (bits % 4).cast("int")
+    digit = F.conv(F.substring(key, whole + 1, F.lit(1)), 16, 10).cast("int")
+    mask = F.lit(15).bitwiseAND(F.element_at(F.array(*map(F.lit, (0, 8, 12, 14))), part + 1))
+    cut = digit.bitwiseAND(mask) if fill == "0" else digit.bitwiseOR(F.lit(15) - mask)
+    middle = F.when(part > 0, F.lower(F.hex(cut.cast("bigint")))).otherwise("")
+    return F.rpad(F.concat(F.left(key, whole), middle), 32, fill)
+
+
+def key_text(key: Column, ip6: Column) -> Column:
+    """A key as text: dotted octets, or groups without leading zeros where the longest run of zero groups (the first of equal ones) is ``::``."""
+    octet = lambda i: F.conv(F.substring(key, i, 2), 16, 10)
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substring(key, i * 4 + 1, F.lit(4)), r"\A0{1,3}", ""))
+    joined = F.array_join(groups, ":")
+    short: Column = joined
+    for n in range(2, 9):
+        run = rf"\A(.*?)(?:\A|:)0(?::0){{{n - 1}}}(?:\z|:)(.*)\z"
+        short = F.when(joined.rlike(run), F.regexp_replace(joined, run, "$1::$2")).otherwise(short)
+    four = F.concat_ws(".", *(octet(i) for i in (25, 27, 29, 31)))
+    return F.when(key.isNotNull(), F.when(ip6, short).otherwise(four))
 
 
 def network(cidr: Column) -> Column:
-    return ip4_text(_masked(ip4_number(cidr), mask_length(cidr)))
+    return key_text(_masked(inet_key(cidr), _bits(cidr)), is_ip6(cidr))
 
 
 def broadcast_address(cidr: Column) -> Column:
-    return ip4_text(_masked(ip4_number(cidr), mask_length(cidr)) + F.pow(F.lit(2), 32 - mask_length(cidr)).cast("bigint") - 1)
+    return key_text(_masked(inet_key(cidr), _bits(cidr), "f"), is_ip6(cidr))
 
 
-def supernet(cidr: Column) -> Column:
-    shorter = F.greatest(mask_length(cidr) - 1, F.lit(0))
-    return F.concat(ip4_text(_masked(ip4_number(cidr), shorter)), F.lit("/"), shorter)
+def supernet(cidr: Column, length: Column | None = None) -> Column:
+    """The block of a shorter prefix that holds it; one bit shorter unless said."""
+    shorter = F.greatest(mask_length(cidr) - 1, F.lit(0)) if length is None else length
+    return F.when(shorter <= mask_length(cidr), F.concat(key_text(_masked(inet_key(cidr), _bits(cidr, shorter)), is_ip6(cidr)), F.lit("/"), shorter))
 
 
 def cidr_contains(cidr: Column, inet: Column) -> Column:
-    """cidr >> inet (or a smaller block)."""
-    n = mask_length(cidr)
-    return (mask_length(inet) >= n) & (_masked(ip4_number(cidr), n) == _masked(ip4_number(inet), n))
+    """cidr >> inet (or a smaller block); false across families."""
+    within = _masked(inet_key(cidr), _bits(cidr)) == _masked(inet_key(inet), F.least(_bits(cidr), _bits(inet)))
+    return F.when(inet_key(cidr).isNotNull() & inet_key(inet).isNotNull(), (is_ip6(cidr) == is_ip6(inet)) & (mask_length(inet) >= mask_length(cidr)) & within)
 
 
 def cidr_overlaps(a: Column, b: Column) -> Column:
-    n = F.least(mask_length(a), mask_length(b))
-    return _masked(ip4_number(a), n) == _masked(ip4_number(b), n)
+    n = F.least(_bits(a), _bits(b))
+    return F.when(inet_key(a).isNotNull() & inet_key(b).isNotNull(), (is_ip6(a) == is_ip6(b)) & (_masked(inet_key(a), n) == _masked(inet_key(b), n)))
+
+
+def _in_any(inet: Column, *blocks: str) -> Column:
+    out = F.lit(False)
+    for block in blocks:
+        out = out | cidr_contains(F.lit(block), inet)
+    return out
 
 
 def is_private(inet: Column) -> Column:
-    return cidr_contains(F.lit("10.0.0.0/8"), inet) | cidr_contains(F.lit("172.16.0.0/12"), inet) | cidr_contains(F.lit("192.168.0.0/16"), inet)
+    return _in_any(inet, "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "fc00::/7")
 
 
 def is_loopback(inet: Column) -> Column:
-    return cidr_contains(F.lit("127.0.0.0/8"), inet)
+    return _in_any(inet, "127.0.0.0/8", "::1/128")
 
 
 def is_multicast(inet: Column) -> Column:
-    return cidr_contains(F.lit("224.0.0.0/4"), inet)
+    return _in_any(inet, "224.0.0.0/4", "ff00::/8")
 
 
-@F.udf(BinaryType())
-def inet_key(text: str | None) -> bytes | None:
-    """16 bytes that order and compare addresses of both families; null if it is none."""
-    import ipaddress
+def is_link_local(inet: Column) -> Column:
+    return _in_any(inet, "169.254.0.0/16", "fe80::/10")
 
-    try:
-        address = ipaddress.ip_interface(text).ip
-    except (ValueError, TypeError):
-        return None
-    return (b"\0" * 10 + b"\xff\xff" + address.packed) if address.version == 4 else address.packed
 
+def cidr_join(left: DataFrame, ip: str, right: DataFrame, cidr: str | list[str], how: str = "inner") -> DataFrame:
+    """Rows whose address lies in a block, or in one of several blocks of a row: an equi-join on (family, prefix length, masked address).
 
-def cidr_join(left: DataFrame, ip: str, right: DataFrame, cidr: str, how: str = "inner") -> DataFrame:
-    """Rows whose address lies in a block: an equi-join on (prefix length, masked address).
-
-    Each address is spread over the prefix lengths that occur (33 at most), so
-    no pair is compared that doesn't match.
+    Each address is spread over the prefix lengths that occur (162 at most), so
+    no pair is compared that doesn't match.  With how="left" an address outside
+    all blocks stays, once, with nulls.
     """
-    blocks = right.withColumn("__len", mask_length(F.col(cidr))).withColumn("__net", _masked(ip4_number(F.col(cidr)), F.col("__len")))
-    lengths = blocks.agg(F.collect_set("__len").alias("__lengths"))
-    spread = left.withColumn("__row", F.monotonically_increasing_id()) if how == "left" else left
-    keyed = spread.crossJoin(F.broadcast(lengths)).withColumn("__l", F.explode("__lengths")).drop("__lengths")  # one row of 33 numbers at most
-    keyed = keyed.where(F.col("__l") <= mask_length(F.col(ip))).withColumn("__n", _masked(ip4_number(F.col(ip)), F.col("__l")))
-    met = keyed.join(blocks, (F.col("__l") == F.col("__len")) & (F.col("__n") == F.col("__net"))).drop("__l", "__n", "__len", "__net")
-    if how == "inner":
-        return met
-    alone = spread.join(met.select("__row").distinct(), "__row", "left_anti")
-    return met.unionByName(alone, allowMissingColumns=True).drop("__row")
+    blocks_of = [cidr] if isinstance(cidr, str) else list(cidr)
+    row, block, own, size, net, lengths, at, masked, hits = free("row", "block", "own", "size", "net", "lengths", "at", "masked", "hits", of=(left, right))
+    names, others = left.columns, right.columns
+    if set(names) & set(others):
+        raise ValueError(f"columns of both sides: {sorted(set(names) & set(others))}")
+    wide = right.withColumn(own, F.monotonically_increasing_id()) if len(blocks_of) > 1 else right.withColumn(own, F.lit(0))
+    blocks = wide.withColumn(block, F.explode(F.array(*map(F.col, blocks_of))) if len(blocks_of) > 1 else F.col(blocks_of[0]))
+    blocks = blocks.where(inet_key(F.col(block)).isNotNull()).withColumns({size: F.when(is_ip6(F.col(block)), _bits(F.col(block)) + 1000).otherwise(_bits(F.col(block))), net: _masked(inet_key(F.col(block)), _bits(F.col(block)))})
+    found = blocks.agg(F.collect_set(size).alias(lengths))  # one row of 162 numbers at most
+    base = left.withColumn(row, F.monotonically_increasing_id())
+    key, family = inet_key(F.col(ip)), F.when(is_ip6(F.col(ip)), 1000).otherwise(0)
+    fits = F.filter(F.col(lengths), lambda n: (n >= family) & (n - family <= _bits(F.col(ip))) & ((n >= 1000) == is_ip6(F.col(ip))))
+    spread = base.crossJoin(F.broadcast(found)).withColumn(at, F.explode_outer(F.when(key.isNotNull(), fits))).drop(lengths)
+    spread = spread.withColumn(masked, F.when(F.col(at).isNotNull(), _masked(key, F.col(at) - family)))
+    met = spread.join(blocks, (F.col(at) == F.col(size)) & (F.col(masked) == F.col(net)), "left" if how == "left" else "inner")
+    if how == "left":
+        mine = Window.partitionBy(row)  # at most a row for each length and block
+        met = met.withColumns({hits: F.count(net).over(mine), size: F.row_number().over(mine.orderBy(at))})
+        met = met.where(F.col(net).isNotNull() | ((F.col(hits) == 0) & (F.col(size) == 1)))
+    if len(blocks_of) > 1:
+        met = met.dropDuplicates([row, own])
+    return met.select(*names, *others)
 
 
 def mac_number(mac: Column) -> Column:
@@ -201,6 +283,16 @@ def mac_is_local(mac: Column) -> Column:
     return F.shiftright(mac_number(mac), 41).bitwiseAND(1) == 1
 
 
+def mac_compare(a: Column, b: Column) -> Column:
+    x, y = mac_number(a), mac_number(b)
+    return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
+
+
+def mac_substring(mac: Column, start: int, length: int) -> Column:
+    """SUBSTRING over the canonical text."""
+    return F.substring(mac_text(mac), start, length)
+
+
 # --- arrays
 
 
@@ -229,18 +321,94 @@ def array_contains_all(a: Column, b: Column) -> Column:
     return F.forall(b, lambda x: F.array_contains(a, x))
 
 
+def array_contained_in(a: Column, b: Column) -> Column:
+    """a <@ b."""
+    return array_contains_all(b, a)
+
+
+def array_equal(a: Column, b: Column) -> Column:
+    return a == b
+
+
+def array_bounds(a: Column, lower: int = 1) -> Column:
+    """The first and last index."""
+    return F.struct(F.lit(lower).alias("lower"), (F.size(a) + lower - 1).alias("upper"))
+
+
+def array_avg(a: Column) -> Column:
+    """Nulls don't count; null if there is no value."""
+    known = F.filter(a, lambda x: x.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.size(known))
+
+
+def find_element(a: Column, x: Column, lower: int = 1) -> Column:
+    """The first index of a value, null if it isn't there."""
+    at = F.array_position(a, x)
+    return F.when(at > 0, (at + lower - 1).cast("int"))
+
+
+def element_nd(a: Column, indexes: list[Column], bounds: list[tuple[int, int]]) -> Column:
+    """The element of an n-dimensional array kept row by row; an error outside the bounds."""
+    at, inside = F.lit(0), F.lit(True)
+    for i, (lo, hi) in zip(indexes, bounds, strict=True):
+        at = at * (hi - lo + 1) + (i - lo)
+        inside = inside & i.between(lo, hi)
+    return F.when(inside, F.element_at(a, at.cast("int") + 1)).otherwise(F.raise_error(F.lit("index outside the bounds")))
+
+
+def slice_nd(a: Column, spans: list[tuple[int, int, int]], bounds: list[tuple[int, int]]) -> Column:
+    """The elements whose index in each dimension is first, first + step, ... up to last; row by row."""
+    places = [0]
+    for (first, last, step), (lo, hi) in zip(spans, bounds, strict=True):
+        if first < lo or last > hi:
+            raise ValueError("a slice outside the bounds")
+        places = [p * (hi - lo + 1) + i - lo for p in places for i in range(first, last + 1, step)]
+    return F.transform(F.array(*(F.lit(p + 1) for p in places)), lambda p: F.element_at(a, p))
+
+
 def array_sum(a: Column, zero: Column) -> Column:
     return F.aggregate(a, zero, lambda s, x: s + F.coalesce(x, zero))
 
 
-# --- text vectors: array<struct<lexeme, position>> in page order; the query as a tree
+# --- text vectors: array<struct<lexeme, position, weight>> in page order; the query as a tree
 
 
-def tsvector(text: Column, stop: tuple[str, ...] = ()) -> Column:
-    """Words in lower case with their positions from 1; configuration "simple" with a stop list."""
+# Stop words, and suffixes that the stemmer takes off (with what it puts there), by language.
+STOP_WORDS = {
+    "simple": (),
+    "english": tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()),
+    "german": tuple("aber als am an auch auf aus bei das dem den der des die ein eine er es ist mit nicht oder sie und von zu".split()),
+    "french": tuple("au aux ce ces dans de des du elle en et il la le les ne ou par pas pour que qui sur un une".split()),
+}
+_SUFFIXES = {
+    "english": (("sses", "ss"), ("ies", "i"), ("ational", "ate"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("ingly", ""), ("edly", ""), ("ing", ""), ("ed", ""), ("ly", ""), ("s", "")),
+    "german": (("ungen", "ung"), ("heiten", "heit"), ("ern", ""), ("en", ""), ("er", ""), ("es", ""), ("e", "")),
+    "french": (("issement", "iss"), ("ements", "e"), ("ement", "e"), ("eaux", "eau"), ("aux", "al"), ("es", ""), ("e", ""), ("s", "")),
+}
+
+
+def stem(word: Column, language: str = "simple") -> Column:
+    """The first suffix that fits is replaced where three letters or more stay; a double s stays."""
+    out: Column = word
+    for suffix, put in reversed(_SUFFIXES.get(language, ())):
+        fits = word.endswith(suffix) & (F.length(word) - len(suffix) >= 3)
+        if suffix == "s":
+            fits = fits & ~word.endswith("ss")
+        out = F.when(fits, F.concat(F.left(word, F.length(word) - len(suffix)), F.lit(put))).otherwise(out)
+    return out
+
+
+def tsvector(text: Column, stop: tuple[str, ...] = (), language: str = "simple", weight: str = "D") -> Column:
+    """Lexemes (words in lower case, stemmed by the language, without its stop words) with positions from 1 and a weight A to D."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("lexeme"), (i + 1).alias("position")))
-    return F.filter(placed, lambda x: ~x["lexeme"].isin(*stop)) if stop else placed
+    placed = F.transform(words, lambda w, i: F.struct(w.alias("lexeme"), (i + 1).alias("position"), F.lit(weight).alias("weight")))
+    gone = (*stop, *STOP_WORDS[language])
+    kept = F.filter(placed, lambda x: ~x["lexeme"].isin(*gone)) if gone else placed
+    return kept if language == "simple" else F.transform(kept, lambda x: x.withField("lexeme", stem(x["lexeme"], language)))
+
+
+def set_weight(vector: Column, weight: str) -> Column:
+    return F.transform(vector, lambda x: x.withField("weight", F.lit(weight)))
 
 
 def lexemes(docs: DataFrame, key: str, text: str, stop: tuple[str, ...] = ()) -> DataFrame:
@@ -345,11 +513,35 @@ def ts_matches(vector: Column, query: TsQuery) -> Column:
     return holds(query.tree)
 
 
-def ts_rank(vector: Column, query: TsQuery) -> Column:
-    """Occurrences of the query's words over all occurrences."""
+# What a hit of each weight counts.
+WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
+
+
+def _normalized(rank: Column, vector: Column, normalization: int) -> Column:
+    """Bits: 1 divides by 1 + ln(length), 2 by the length, 8 by the number of lexemes, 16 by 1 + its ln, 32 gives rank / (rank + 1)."""
+    n, different = F.size(vector), F.size(F.array_distinct(F.transform(vector, lambda x: x["lexeme"])))
+    for bit, by in ((1, 1 + F.ln(F.greatest(n, F.lit(1)))), (2, F.greatest(n, F.lit(1))), (8, F.greatest(different, F.lit(1))), (16, 1 + F.ln(F.greatest(different, F.lit(1))))):
+        rank = rank / by if normalization & bit else rank
+    return rank / (rank + 1) if normalization & 32 else rank
+
+
+def ts_rank(vector: Column, query: TsQuery, normalization: int = 0, weighted: bool = False) -> Column:
+    """Occurrences of the query's words over all occurrences, or the sum of their weights."""
     words, total = sorted(set(query.words())), F.size(vector)
-    hits = F.size(F.filter(vector, lambda x: x["lexeme"].isin(*words)))
-    return F.when(total > 0, hits / total).otherwise(F.lit(0.0))
+    hits = F.filter(vector, lambda x: x["lexeme"].isin(*words))
+    if weighted:
+        worth = F.create_map(*(F.lit(x) for pair in WEIGHTS.items() for x in pair))
+        rank = F.aggregate(hits, F.lit(0.0), lambda s, x: s + worth[x["weight"]])
+    else:
+        rank = F.when(total > 0, F.size(hits) / total).otherwise(F.lit(0.0))
+    return _normalized(rank, vector, normalization)
+
+
+def with_synonyms(query: TsQuery, synonyms: dict[str, str]) -> TsQuery:
+    """Each word that has synonyms becomes any of them or itself."""
+    for word, others in synonyms.items():
+        query = query.rewritten(word, TsQuery(" | ".join([word, *others.split()])))
+    return query
 
 
 def ts_headline(text: Column, query: TsQuery, start: str = "<b>", stop: str = "</b>") -> Column:
@@ -364,7 +556,7 @@ def has_lexeme(vector: Column, lexeme: str) -> Column:
 def ts_concat(a: Column, b: Column) -> Column:
     """``b`` after ``a``: its positions count on from the greatest of ``a``."""
     end = F.coalesce(F.array_max(F.transform(a, lambda x: x["position"])), F.lit(0))
-    return F.concat(a, F.transform(b, lambda x: F.struct(x["lexeme"].alias("lexeme"), (x["position"] + end).alias("position"))))
+    return F.concat(a, F.transform(b, lambda x: F.struct(x["lexeme"].alias("lexeme"), (x["position"] + end).alias("position"), x["weight"].alias("weight"))))
 
 
 def ts_rank_cd(vector: Column, query: TsQuery) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.names import free
 from basalt.operators.relational import sort_key
 from basalt.session import checkpoint_folder
 
@@ -21,12 +22,14 @@ def numbered(df: DataFrame, name: str, order: list[str] | None = None, start: in
     """``df`` with start, start + step, ... in the order given (keys as in ``ordered``); no gaps."""
     spark = df.sparkSession
     checkpoint_folder(spark)
-    keys = [*map(sort_key, order or []), F.col("__tie")]
+    tie, range_, at, of, rows, before_ = free("tie", "range", "at", "of", "rows", "before", of=(df,))
+    keys = [*map(sort_key, order or []), F.col(tie)]
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.withColumn("__tie", F.rand(42)).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).drop("__tie")
-    placed = dealt.withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit(_WITHIN))}).checkpoint()
-    earlier = Window.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    counts = placed.groupBy(F.col("__range").alias("__of")).agg(F.count("*").alias("__rows"))
-    before = counts.select("__of", F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
-    out = placed.join(F.broadcast(before), F.col("__range") == F.col("__of"))
-    return out.withColumn(name, (F.col("__before") + F.col("__at")) * step + start).drop("__of", "__before", "__range", "__at")
+    dealt = df.withColumn(tie, F.rand(42)).repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).drop(tie)
+    placed = dealt.withColumns({range_: F.spark_partition_id(), at: F.monotonically_increasing_id().bitwiseAND(F.lit(_WITHIN))}).checkpoint()
+    earlier = Window.orderBy(of).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    counts = placed.groupBy(F.col(range_).alias(of)).agg(F.count("*").alias(rows))
+    before = counts.select(of, F.coalesce(F.sum(rows).over(earlier), F.lit(0)).alias(before_))
+    out = placed.join(F.broadcast(before), F.col(range_) == F.col(of))
+    number = ((F.col(before_) + F.col(at)) * step + start).alias(name)
+    return out.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != name.lower()), number)

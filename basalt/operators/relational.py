@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basalt.names import free
+
 MAX_DEPTH = 1024
 
 
@@ -21,6 +23,31 @@ def rows(df: DataFrame, m: int, n: int | None = None) -> DataFrame:
     return df.limit(m) if n is None else df.offset(m - 1).limit(max(0, n - m + 1))
 
 
+def limited(df: DataFrame, first: int | None = None, skip: int | None = None, rows_from: int | None = None, rows_to: int | None = None, offset: int | None = None, fetch: int | None = None) -> DataFrame:
+    """The limits of one SELECT: FIRST/SKIP, or ROWS, or OFFSET/FETCH; mixing them is refused."""
+    forms = [first is not None or skip is not None, rows_from is not None or rows_to is not None, offset is not None or fetch is not None]
+    if sum(forms) > 1:
+        raise ValueError("FIRST/SKIP, ROWS and OFFSET/FETCH cannot be mixed")
+    if any(x is not None and x < 0 for x in (first, skip, rows_from, rows_to, offset, fetch)):
+        raise ValueError("a negative limit")
+    if forms[1]:
+        return rows(df, rows_from, rows_to)
+    out = df.offset(skip or offset or 0)
+    size = first if forms[0] else fetch
+    return out if size is None else out.limit(size)
+
+
+def ordered_union(df: DataFrame, *ordinals: str) -> DataFrame:
+    """ORDER BY of a union: by ordinals only, as ``2``, ``1 desc``, ``3 desc nulls last``."""
+    keys = []
+    for key in ordinals:
+        number, *rest = key.split()
+        if not number.isdigit() or not 1 <= int(number) <= len(df.columns):
+            raise ValueError(f"a union is sorted by ordinals, not by {number!r}")
+        keys.append(" ".join([df.columns[int(number) - 1], *rest]))
+    return ordered(df, *keys)
+
+
 def offset_fetch(df: DataFrame, offset: int = 0, fetch: int = 1) -> DataFrame:
     return df.offset(offset).limit(fetch)
 
@@ -97,7 +124,8 @@ def recursive(spark: SparkSession, name: str, columns: list[str], anchor: str, m
 
 def singleton(df: DataFrame) -> DataFrame:
     """The only row; an error at run time if there is a second."""
-    return df.limit(2).withColumn("__n", F.count("*").over(_everything())).where(F.when(F.col("__n") > 1, F.raise_error(F.lit("multiple rows in singleton select"))).otherwise(F.lit(True)).cast("boolean")).drop("__n")
+    (n,) = free("n", of=(df,))
+    return df.limit(2).withColumn(n, F.count("*").over(_everything())).where(F.when(F.col(n) > 1, F.raise_error(F.lit("multiple rows in singleton select"))).otherwise(F.lit(True)).cast("boolean")).drop(n)
 
 
 def _everything():
@@ -126,21 +154,36 @@ def unqualified_names(spark: SparkSession, names: str) -> DataFrame:
 
 
 def zone_transitions(spark: SparkSession, zone: str, since: str, until: str) -> DataFrame:
-    """(start, end, offset_minutes, dst_minutes) of a time zone's periods between two dates, found hour by hour."""
+    """(start, end, offset_minutes, dst_minutes) of a time zone's periods between two dates, to the second.
+
+    Days are compared, and a day whose ends differ is halved down to the second; no
+    zone changes twice within a day and back.
+    """
     import datetime as dt
     from zoneinfo import ZoneInfo
 
-    tz, utc, hour = ZoneInfo(zone), dt.timezone.utc, dt.timedelta(hours=1)
-    at, stop = (dt.datetime.fromisoformat(x).replace(tzinfo=utc) for x in (since, until))
+    tz, utc = ZoneInfo(zone), dt.timezone.utc
+    first, last = (int(dt.datetime.fromisoformat(x).replace(tzinfo=utc).timestamp()) for x in (since, until))
 
-    def facts(t):
-        here = t.astimezone(tz)
+    def facts(second: int) -> tuple[int, int]:
+        here = dt.datetime.fromtimestamp(second, utc).astimezone(tz)
         return int(here.utcoffset().total_seconds() // 60), int((here.dst() or dt.timedelta()).total_seconds() // 60)
 
-    out, start, now = [], at, facts(at)
-    while at < stop:
-        at += hour
-        if facts(at) != now or at >= stop:
-            out.append((start.replace(tzinfo=None), min(at, stop).replace(tzinfo=None), *now))
-            start, now = at, facts(at)
-    return spark.createDataFrame(out, "start timestamp_ntz, end timestamp_ntz, offset_minutes int, dst_minutes int")
+    def change(lo: int, hi: int) -> int:
+        """The first second after ``lo`` whose facts differ from those at ``lo``; they do at ``hi``."""
+        while hi - lo > 1:
+            middle = (lo + hi) // 2
+            lo, hi = (middle, hi) if facts(middle) == facts(lo) else (lo, middle)
+        return hi
+
+    out, start, at = [], first, first
+    while at < last:
+        after = min(at + 86_400, last)
+        if facts(after) != facts(start):
+            after = change(at, after)
+        if after == last or facts(after) != facts(start):
+            out.append((start, after, *facts(start)))
+            start = after
+        at = after
+    moment = lambda s: dt.datetime.fromtimestamp(s, utc).replace(tzinfo=None)
+    return spark.createDataFrame([(moment(a), moment(b), *rest) for a, b, *rest in out], "start timestamp_ntz, end timestamp_ntz, offset_minutes int, dst_minutes int")

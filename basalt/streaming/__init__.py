@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basalt.names import free
+
+
+def _last(changes: DataFrame, keys: list[str], sequence: str) -> DataFrame:
+    """The change of the highest sequence of each key: a maximum that is found in parts, so a frequent key costs no sort."""
+    (row,) = free("row", of=(changes,))
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*changes.columns), F.col(sequence)).alias(row)).select(f"{row}.*")
+
 
 def apply_changes(changes: DataFrame, keys: list[str], sequence: str, kind: str = "op") -> DataFrame:
     """The state that a change log leaves: the last write of each key, without deleted keys ('D')."""
-    last = Window.partitionBy(*keys).orderBy(F.col(sequence).desc())
-    return changes.withColumn("__n", F.row_number().over(last)).where((F.col("__n") == 1) & (F.col(kind) != "D")).drop("__n")
+    return _last(changes, keys, sequence).where(~F.col(kind).eqNullSafe("D"))
+
 
+def apply_stream(changes: DataFrame, path: str, checkpoint: str, keys: list[str], sequence: str):
+    """A stream of changes folded into versions of a table, ``path``/v=batch; each batch reads the version before.
 
-def apply_stream(changes: DataFrame, path: str, checkpoint: str, keys: list[str], sequence: str, kind: str = "op"):
-    """A stream of changes folded into versions of a table, ``path``/v=batch; each batch reads the version before."""
+    Deleted keys stay as their last change, so that an older change that comes late
+    doesn't bring them back; ``apply_changes`` over a version drops them.
+    """
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         # a batch that is run again writes its own version again
-        old = spark.read.parquet(f"{path}/v={number - 1}") if number else None
-        both = batch if old is None else old.unionByName(batch)
-        last = Window.partitionBy(*keys).orderBy(F.col(sequence).desc())
-        both.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n").write.mode("overwrite").parquet(f"{path}/v={number}")
+        old = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v={number - 1}") if number else None
+        _last(batch if old is None else old.unionByName(batch), keys, sequence).write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(fold)
 
