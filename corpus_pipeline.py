@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's documents.  All but the last
-return the columns of documents.
+return the columns of documents, whatever they are called.
+
+Defined results: a null text stays null and counts as empty in every stage; an
+empty text is scored like any other, and of all empty texts that stay one is
+kept; of repeated rows one is kept, and so of near copies, that of the least id
+(a null id only if no copy has one); very long texts are read whole; ties are
+broken by the hash of the text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -47,7 +53,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL has neither the classifier nor the tokenizer; tests/llm holds the result against a brute-force version.
+#: SQL has neither the classifier nor the tokenizer; tests/llm/test_pipeline.py holds the result against a plain chain.
 ORACLE_SQL = None
 
 
