@@ -12,7 +12,7 @@ from basalt.functions import routines
 from basalt.operators import dml, relational, windows
 from basalt.plans.registry import both, pair
 from basalt.session import scratch_folder
-from basalt.sources import Links, read_table, record_file, register, write_table
+from basalt.sources import Batch, Links, read_table, record_file, register, write_table
 
 # --- joins
 
@@ -108,6 +108,32 @@ def unlist_blob(spark, sf_dir):
     return rows.select("n_nationkey", F.explode(relational.unlist(F.col("b").cast("string"), "I")).alias("token"))
 
 
+@pair("SELECT n_nationkey, n_name, code FROM nation JOIN (VALUES (0, 'zero'), (3, 'three'), (3, 'drei')) AS l(k, code) ON n_nationkey = k")
+def local_table_scan(spark, sf_dir):
+    local = spark.createDataFrame([(0, "zero"), (3, "three"), (3, "drei")], "k int, code string")
+    return read_table(spark, sf_dir, "nation").join(local, F.col("n_nationkey") == F.col("k")).select("n_nationkey", "n_name", "code")
+
+
+@pair("SELECT r_regionkey, r_name FROM region UNION ALL SELECT 20, 'twenty' UNION ALL SELECT 22, NULL")
+def batch_ingest(spark, sf_dir):
+    batch = Batch(read_table(spark, sf_dir, "region"), multi_error=True)
+    for row in ((20, "twenty"), ("no number", "refused"), (22, None)):
+        batch.add(*row)
+    return batch.execute()[0]
+
+
+@pair("SELECT l_returnflag, true AS near FROM lineitem GROUP BY l_returnflag")
+def approximate_distinct(spark, sf_dir):
+    """Within three of its standard errors of the exact count."""
+    rows = read_table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_orderkey", 0.02).alias("a"), F.count_distinct("l_orderkey").alias("e"))
+    return rows.select("l_returnflag", (F.abs(F.col("a") - F.col("e")) <= 0.06 * F.col("e") + 1).alias("near"))
+
+
+both(
+    "pushed_and_or_in",
+    "SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' AND o_totalprice > 150000 AND o_orderkey IN (1, 5, 9, 33, 100, 500, 1000)) OR o_custkey IN (3, 7, 11) OR (o_orderkey BETWEEN 20 AND 25 AND NOT o_orderstatus = 'O')",
+)
+
 # --- routines
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkTypeError, PySparkValueError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import _make_type_verifier
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 MAX_LEVELS, MAX_PATH = 8, 511
@@ -103,3 +105,34 @@ def virtual(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 def write_table(df: DataFrame, root: str, name: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> None:
     writer = df.write.mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{root}/{name}.parquet")
+
+
+class Batch:
+    """Batch ingest: rows are gathered, checked one by one against a table's types, and added together.
+
+    ``execute`` gives the new table and the status of each row: 1, or the reason
+    why it was refused.  Without ``multi_error`` the rows from the first refused one on are left out.
+    """
+
+    def __init__(self, table: DataFrame, multi_error: bool = False, most: int = 100_000):
+        self.table, self.multi_error, self.most, self.rows = table, multi_error, most, []
+
+    def add(self, *row: object) -> None:
+        if len(self.rows) >= self.most:
+            raise ValueError(f"more than {self.most} rows in a batch")
+        self.rows.append(row)
+
+    def execute(self) -> tuple[DataFrame, list[int | str]]:
+        verify, fine, status = _make_type_verifier(self.table.schema), [], []
+        for row in self.rows:
+            try:
+                verify(row)
+            except (PySparkTypeError, PySparkValueError) as error:
+                status.append(str(error))
+                if not self.multi_error:
+                    break
+            else:
+                fine.append(row)
+                status.append(1)
+        self.rows = []
+        return self.table.unionByName(self.table.sparkSession.createDataFrame(fine, self.table.schema)), status
