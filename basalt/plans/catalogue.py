@@ -223,9 +223,10 @@ def unlist_basic(spark, sf_dir):
     return read_table(spark, sf_dir, "nation").select("n_nationkey", F.explode(relational.unlist(F.replace("n_name", F.lit("A"), F.lit(",")))).alias("token"))
 
 
-@pair("SELECT CAST(unnest(list_filter(string_split('1,,2,', ','), lambda x: x <> '')) AS BIGINT) AS v")
+@pair("SELECT p_partkey, CAST(unnest(list_filter([p_size, p_partkey, 7], lambda x: x IS NOT NULL)) AS BIGINT) AS v FROM part")
 def unlist_typed(spark, sf_dir):
-    return spark.range(1).select(F.explode(relational.unlist(F.lit("1,,2,"), ",", "bigint")).alias("v"))
+    text = F.concat(F.col("p_size").cast("string"), F.lit(",,"), F.col("p_partkey").cast("string"), F.lit(",7,"))
+    return read_table(spark, sf_dir, "part").select("p_partkey", F.explode(relational.unlist(text, ",", "bigint")).alias("v"))
 
 
 # --- scalar functions
@@ -235,7 +236,7 @@ both("fn_string_case", "SELECT c_custkey, upper(c_name) AS u, lower(c_name) AS l
 both("fn_string_cut", "SELECT p_partkey, substring(p_name, 2, 3) AS s, CAST(position('a' IN p_name) AS BIGINT) AS p, replace(p_name, 'a', 'zz') AS r, lpad(p_brand, 12, '*') AS lp, rpad(p_brand, 12, '-') AS rp, p_name || '/' || p_type AS c FROM part")
 both("fn_math_basic", "SELECT c_custkey, abs(c_acctbal) AS a, CAST(sign(c_acctbal) AS INTEGER) AS s, floor(c_acctbal) AS f, ceil(c_acctbal) AS c, round(c_acctbal, 1) AS r, round(sqrt(abs(c_acctbal)), 6) AS q, round(ln(abs(c_acctbal) + 1), 6) AS l, round(log10(abs(c_acctbal) + 1), 6) AS l10, c_custkey % 7 AS m FROM customer", "SELECT c_custkey, abs(c_acctbal) AS a, CAST(sign(c_acctbal) AS INT) AS s, CAST(floor(c_acctbal) AS DOUBLE) AS f, CAST(ceil(c_acctbal) AS DOUBLE) AS c, round(c_acctbal, 1) AS r, round(sqrt(abs(c_acctbal)), 6) AS q, round(ln(abs(c_acctbal) + 1), 6) AS l, round(log10(abs(c_acctbal) + 1), 6) AS l10, c_custkey % 7 AS m FROM customer")
 both("fn_math_trig", "SELECT s_suppkey, round(sin(s_suppkey), 6) AS si, round(cos(s_suppkey), 6) AS co, round(tan(s_suppkey), 4) AS ta, round(asin(1.0 / s_suppkey), 6) AS asi, round(acos(1.0 / s_suppkey), 6) AS aco, round(atan(s_suppkey), 6) AS at, round(atan2(s_suppkey, 3), 6) AS a2, round(cot(s_suppkey), 4) AS ct, round(asinh(s_suppkey), 6) AS ash, round(acosh(s_suppkey), 6) AS ach, round(tanh(s_suppkey), 6) AS th, round(exp(1.0 / s_suppkey), 6) AS e, round(power(s_suppkey, 2), 3) AS p FROM supplier WHERE s_suppkey > 0")
-both("fn_hyperbolic", "SELECT round(sinh(1.5), 6) AS s, round(cosh(1.5), 6) AS c, round(atanh(0.5), 6) AS a, round(pi(), 8) AS p", "SELECT round(sinh(1.5D), 6) AS s, round(cosh(1.5D), 6) AS c, round(atanh(0.5D), 6) AS a, round(pi(), 8) AS p")
+both("fn_hyperbolic", "SELECT s_suppkey, round(sinh(s_suppkey % 10 / 7e0), 6) AS s, round(cosh(s_suppkey % 10 / 7e0), 6) AS c, round(atanh(s_suppkey % 10 / 11e0), 6) AS a, round(pi() * s_suppkey, 6) AS p FROM supplier")
 both("fn_bitwise", "SELECT c_custkey, c_custkey & 12 AS a, c_custkey | 3 AS o, xor(c_custkey, 5) AS x, ~c_custkey AS n, c_custkey << 2 AS l, c_custkey >> 1 AS r FROM customer", "SELECT c_custkey, c_custkey & 12 AS a, c_custkey | 3 AS o, c_custkey ^ 5 AS x, ~c_custkey AS n, shiftleft(c_custkey, 2) AS l, shiftright(c_custkey, 1) AS r FROM customer")
 both("fn_hash_encode", "SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s, lower(hex(c_name)) AS h, base64(encode(c_name)) AS b FROM customer", "SELECT c_custkey, md5(c_name) AS m, sha2(c_name, 256) AS s, lower(hex(c_name)) AS h, base64(c_name) AS b FROM customer")
 both("fn_division", "SELECT c_custkey, c_custkey // 7 AS d, c_custkey / 8 AS q FROM customer", "SELECT c_custkey, c_custkey div 7 AS d, c_custkey / 8 AS q FROM customer")
