@@ -102,6 +102,23 @@ def link_execute(spark, sf_dir):
     return links.execute(spark, "SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name", "remote")
 
 
+@pair("SELECT mode, n_nationkey, n_name FROM nation, (VALUES ('context_aware', 1), ('fixed', 2), ('hierarchical', 3), ('mirror', 4), ('none', 0)) AS m(mode, region) WHERE n_regionkey = region")
+def link_schema_modes(spark, sf_dir):
+    """A region's nations in each of five schemas of the other side, found by the five ways to map a schema."""
+    root = f"{scratch_folder(spark)}/linked-{uuid.uuid4().hex}"
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    for region, schema in enumerate(("", "users/ann", "fixed/one", "far/reports/daily", "near/reports")):
+        write_table(nation.where(F.col("n_regionkey") == region).drop("n_regionkey"), f"{root}/{schema}".rstrip("/"), "nation")
+    links = Links(user="ann")
+    links.add("none", root)
+    links.add("fixed", root, mode="fixed", remote="fixed.one")
+    links.add("context_aware", root, mode="context_aware", remote="users.USER")
+    links.add("hierarchical", root, mode="hierarchical", local="near", remote="far")
+    links.add("mirror", root, mode="mirror")
+    names = {"none": "any.nation", "fixed": "any.nation", "context_aware": "nation", "hierarchical": "near.reports.daily.nation", "mirror": "near.reports.nation"}
+    return relational.union(*(links.read(spark, name, mode).select(F.lit(mode).alias("mode"), "n_nationkey", "n_name") for mode, name in names.items()))
+
+
 @pair("SELECT n_nationkey, unnest(list_filter(string_split(n_name, 'I'), lambda x: x <> '')) AS token FROM nation")
 def unlist_blob(spark, sf_dir):
     rows = read_table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").cast("binary").alias("b"))

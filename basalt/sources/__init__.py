@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.errors import PySparkTypeError, PySparkValueError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,33 +23,80 @@ def register(spark: SparkSession, root: str, names: list[str] | None = None) ->
         read_table(spark, root, name).createOrReplaceTempView(name)
 
 
+SCHEMA_MODES = ("none", "fixed", "context_aware", "hierarchical", "mirror")
+
+
+@dataclass
+class Link:
+    """Where a link leads, and how a schema path on this side becomes one on the other.
+
+    none drops it; fixed always takes ``remote``; context_aware takes ``remote``
+    with CURRENT, HOME or USER replaced by those of the session; hierarchical
+    puts what lies below ``local`` below ``remote``; mirror takes the path as it is.
+    """
+
+    root: str | None = None
+    jdbc: dict[str, str] = field(default_factory=dict)
+    mode: str = "none"
+    local: str = ""
+    remote: str = ""
+
+    def schema(self, path: str, context: dict[str, str]) -> str:
+        if self.mode == "none":
+            return ""
+        if self.mode == "fixed":
+            return self.remote
+        if self.mode == "mirror":
+            return path
+        if self.mode == "context_aware":
+            return ".".join(context[p.upper()] if p.upper() in ("CURRENT", "HOME", "USER") else p for p in self.remote.split(".") if p)
+        if self.local and path != self.local and not path.startswith(self.local + "."):
+            raise ValueError(f"{path!r} is not below {self.local!r}")
+        rest = path[len(self.local) :].strip(".")
+        return ".".join(p for p in (self.remote, rest) if p)
+
+
 class Links:
-    """Named remote sources (``table AT link``): a parquet folder, or a JDBC database."""
+    """Named remote sources (``table AT link``): a folder of parquet tables, a subfolder for each schema, or a JDBC database."""
 
-    def __init__(self):
-        self._links: dict[str, dict[str, str]] = {}
+    def __init__(self, **context: str):
+        self._links: dict[str, Link] = {}
+        self.context = {k.upper(): v for k, v in context.items()}
 
-    def add(self, name: str, root: str | None = None, **jdbc: str) -> None:
+    def add(self, name: str, root: str | None = None, mode: str = "none", local: str = "", remote: str = "", **jdbc: str) -> None:
         if (root is None) == (not jdbc):
             raise ValueError("a link is a folder or a JDBC source")
-        self._links[name.lower()] = {"root": root} if root else jdbc
+        if mode not in SCHEMA_MODES:
+            raise ValueError(f"no schema mode {mode!r}")
+        self._links[name.lower()] = Link(root, jdbc, mode, local, remote)
+
+    def alter(self, name: str, mode: str) -> None:
+        if mode not in SCHEMA_MODES:
+            raise ValueError(f"no schema mode {mode!r}")
+        self._links[name.lower()].mode = mode
 
     def drop(self, name: str) -> None:
         del self._links[name.lower()]
 
+    def remote_name(self, table: str, link: str) -> str:
+        """The other side's name of a table that this side calls ``schema.path.table``."""
+        *path, name = table.split(".")
+        schema = self._links[link.lower()].schema(".".join(path), self.context)
+        return f"{schema}.{name}" if schema else name
+
     def read(self, spark: SparkSession, table: str, link: str) -> DataFrame:
-        to = self._links[link.lower()]
-        if "root" in to:
-            return read_table(spark, to["root"], table)
-        return spark.read.format("jdbc").options(**to, dbtable=table).load()
+        to, name = self._links[link.lower()], self.remote_name(table, link)
+        if to.root:
+            return read_table(spark, to.root, name.replace(".", "/"))
+        return spark.read.format("jdbc").options(**to.jdbc, dbtable=name).load()
 
     def execute(self, spark: SparkSession, sql: str, link: str) -> DataFrame:
         """A statement run on the other side: JDBC ``query``, or SQL over views of the folder."""
         to = self._links[link.lower()]
-        if "root" in to:
-            register(spark, to["root"])
+        if to.root:
+            register(spark, to.root)
             return spark.sql(sql)
-        return spark.read.format("jdbc").options(**to, query=sql).load()
+        return spark.read.format("jdbc").options(**to.jdbc, query=sql).load()
 
 
 class Schemas:

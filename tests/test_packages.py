@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from basalt import packages
 from basalt.packages import Blob, Profiler, outcome, routine
 from basalt.plans.catalogue import QUERIES
-from basalt.sources import Batch
+from basalt.sources import Batch, Links
 
 DATA = "/root/testdata/sf0.001"
 
@@ -101,3 +101,18 @@ def test_an_invariant_subquery_runs_once(spark):
 def test_approximate_counts_are_partial(spark):
     df = spark.range(1000).groupBy((F.col("id") % 3).alias("k")).agg(F.approx_count_distinct("id"))
     assert plan(df).count("HashAggregate") >= 2
+
+
+def test_link_names():
+    links = Links(current="a.b", home="h", user="u")
+    links.add("l", "/x", mode="hierarchical", local="a.b", remote="r")
+    assert links.remote_name("a.b.c.t", "L") == "r.c.t" and links.remote_name("a.b.t", "l") == "r.t"
+    with pytest.raises(ValueError):
+        links.remote_name("a.bc.t", "l")
+    links.alter("l", "none")
+    assert links.remote_name("a.b.t", "l") == "t"
+    links.add("j", mode="context_aware", remote="CURRENT.x.HOME", url="jdbc:none")
+    assert links.remote_name("t", "j") == "a.b.x.h.t"
+    for bad in ({"root": "/x", "url": "y"}, {}, {"root": "/x", "mode": "odd"}):
+        with pytest.raises(ValueError):
+            links.add("k", **bad)
