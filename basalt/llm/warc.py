@@ -2,14 +2,17 @@
 
 Each task writes its pages as one file of gzip members, a WARC 1.1 resource
 record each, to every replica.  The manifest, a table that Spark commits, has
-for each file the ordered offset ranges of its records and their digests; a file
-that it doesn't name was left by a lost attempt and doesn't count.
+for each file the ordered offset ranges of its records, their digests, and the
+root of the tree over them; a file that it doesn't name was left by a lost attempt
+and doesn't count.
 
-An audit hashes each stored range of a replica, builds a tree over the ordered
+An audit hashes each range of each replica, builds a tree over the ordered
 ranges (``FAN`` children a node; offset and length are part of a leaf), and
-compares its root with the manifest's.  Only mismatching branches are descended,
-down to the records that are damaged.  A record is read from the first replica
-that holds it intact.
+compares the replicas' roots.  A root that equals the stored one tells an intact
+replica, and the others are compared with it, branch by branch: only mismatching
+branches are descended, down to the records that are damaged.  Where no replica
+is intact, the tree over the manifest's digests takes its place.  A record is read from the
+first replica that holds it intact.
 
 Defined results: null html is an empty payload; null ids and urls are kept;
 repeated rows are records of their own; an empty table gives no file and no row.
@@ -93,7 +96,7 @@ def _at(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-_MANIFEST = "name string, offsets binary, digests binary, ids array<bigint>, urls array<string>"
+_MANIFEST = "name string, offsets binary, digests binary, root binary, ids array<bigint>, urls array<string>"
 
 
 def write_warc(pages: DataFrame, folder: str, replicas: int = REPLICAS) -> DataFrame:
@@ -108,9 +111,9 @@ def write_warc(pages: DataFrame, folder: str, replicas: int = REPLICAS) -> DataF
         def close() -> pa.RecordBatch:
             for out in outs:
                 out.close()
-            cols = [[name], [np.array(offsets, "<i8").tobytes()], [b"".join(digests)], [ids], [urls]]
-            kinds = [pa.string(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["name", "offsets", "digests", "ids", "urls"])
+            cols = [[name], [np.array(offsets, "<i8").tobytes()], [b"".join(digests)], [tree(digests)[0][0]], [ids], [urls]]
+            kinds = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.string())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["name", "offsets", "digests", "root", "ids", "urls"])
 
         for batch in batches:
             for page_id, url, payload in zip(taken(batch, "page_id").to_pylist(), taken(batch, "url").to_pylist(), column_bytes(batch, "html"), strict=True):
@@ -136,16 +139,25 @@ def write_warc(pages: DataFrame, folder: str, replicas: int = REPLICAS) -> DataF
     return wanted(pages, page_id="bigint", url="string", html="string").mapInArrow(write, _MANIFEST)
 
 
-def damaged(uri: str, offsets: np.ndarray, leaves: list[bytes]) -> list[int]:
-    """The records of one replica's file that differ from the manifest; all if it is missing, those cut off if short."""
+def replica_tree(uri: str, offsets: np.ndarray) -> list[list[bytes]] | None:
+    """The tree over one replica's file as it is; None if the file is missing.  What a short file lacks hashes as nothing."""
     fs, path = _at(uri)
     if fs.get_file_info(path).type == pafs.FileType.NotFound:
-        return list(range(len(leaves)))
-    own = []
+        return None
     with fs.open_input_file(path) as f:
-        for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            own.append(leaf(lo, hi - lo, f.read(hi - lo)))
-    return differing(tree(leaves), tree(own)) if own else []
+        return tree([leaf(lo, hi - lo, f.read(hi - lo)) for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+
+
+def damaged(trees: list[list[list[bytes]] | None], root: bytes, leaves: list[bytes]) -> dict[int, list[int]]:
+    """record -> the replicas that hold it damaged; ``leaves`` are looked at only where no replica has the root."""
+    intact = next((t for t in trees if t is not None and t[0][0] == root), None)
+    out: dict[int, list[int]] = {}
+    for k, own in enumerate(trees):
+        if own is not None and own[0][0] == root:
+            continue
+        for i in range(len(leaves)) if own is None else differing(intact or tree(leaves), own):
+            out.setdefault(i, []).append(k)
+    return out
 
 
 def audit(manifest: DataFrame, folder: str, replicas: int = REPLICAS) -> DataFrame:
@@ -158,13 +170,10 @@ def audit(manifest: DataFrame, folder: str, replicas: int = REPLICAS) -> DataFra
         names = ["page_id", "url", "name", "offset", "length", "n_bytes", "payload_sha256", "n_replicas", "n_damaged", "damaged"]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int32())]
         for batch in batches:
-            for name, raw, digests, ids, urls in zip(*(taken(batch, c).to_pylist() for c in ("name", "offsets", "digests", "ids", "urls")), strict=True):
+            for name, raw, digests, root, ids, urls in zip(*(taken(batch, c).to_pylist() for c in ("name", "offsets", "digests", "root", "ids", "urls")), strict=True):
                 offsets = np.frombuffer(raw, "<i8")
                 leaves = [digests[i : i + 32] for i in range(0, len(digests), 32)]
-                bad: dict[int, list[int]] = {}
-                for k in range(replicas):
-                    for i in damaged(f"{folder}/replica-{k}/{name}", offsets, leaves):
-                        bad.setdefault(i, []).append(k)
+                bad = damaged([replica_tree(f"{folder}/replica-{k}/{name}", offsets) for k in range(replicas)], root, leaves)
                 files, rows = {}, []
                 for i, (page_id, url) in enumerate(zip(ids, urls, strict=True)):
                     lo, size = int(offsets[i]), int(offsets[i + 1] - offsets[i])

@@ -321,6 +321,20 @@ def test_warc_audit_finds_damage(spark, tmp_path):
     open(path, "wb").write(data)
     found = [(r["name"], r["offset"], r["damaged"]) for r in warc.audit(manifest, folder).collect() if r["n_damaged"]]
     assert found == [(hurt["name"], hurt["offset"], [1])]
+    # the other replica damaged elsewhere: none has the stored root any more
+    other = next(r for r in clean if r["name"] == hurt["name"] and r["offset"] != hurt["offset"])
+    second = f"{folder}/replica-0/{hurt['name']}".removeprefix("file://").removeprefix("file:")
+    whole = open(second, "rb").read()
+    worse = bytearray(whole)
+    worse[other["offset"] + 1] ^= 4
+    open(second, "wb").write(worse)
+    found = {(r["offset"], tuple(r["damaged"]), r["payload_sha256"] is None) for r in warc.audit(manifest, folder).collect() if r["n_damaged"]}
+    assert found == {(hurt["offset"], (1,), False), (other["offset"], (0,), False)}
+    worse[hurt["offset"] + 1] ^= 4
+    open(second, "wb").write(worse)
+    found = {(r["offset"], tuple(r["damaged"]), r["payload_sha256"] is None) for r in warc.audit(manifest, folder).collect() if r["n_damaged"]}
+    assert found == {(hurt["offset"], (0, 1), True), (other["offset"], (0,), False)}
+    open(second, "wb").write(whole)
     half = len(data) // 2
     open(path, "wb").write(data[:half])
     lost = {(r["name"], r["offset"]) for r in clean if r["name"] == hurt["name"] and r["offset"] + r["length"] > half} | {(hurt["name"], hurt["offset"])}
