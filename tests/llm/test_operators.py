@@ -384,3 +384,19 @@ def test_pipeline_stages(spark):
     assert all(r["doc_id"] == r["component_id"] for r in groups)
     pieces = corpus_pipeline.packing_stage(spark, docs, folder).collect()
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in docs.collect()}
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_nearest_recall_of_whole_tables(spark, size):
+    table = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").collect()
+    ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
+    found: dict = {}
+    for r in ann.nearest(table).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = []
+    for q in ids[ids % 100 == 0].tolist():
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        hits.append(len(found[q] & set(ids[np.lexsort((ids, d))[:10]].tolist())))
+    assert np.mean(hits) >= 9.5 and min(hits) >= 7
