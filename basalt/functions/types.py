@@ -2,49 +2,83 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.names import free
 
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: an expression that is named many times would be copied as often into the plan."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _of_two(f: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
+    """A function of two values, each computed once."""
+
+    @wraps(f)
+    def run(a: Column, b: Column) -> Column:
+        return _let(F.struct(a.alias("a"), b.alias("b")), lambda s: f(s["a"], s["b"]))
+
+    return run
+
+
 # --- ranges: struct<lower, upper, lower_inc, upper_inc, empty>; a null bound is infinite
 
 
 def make_range(lower: Column, upper: Column, bounds: str = "[)") -> Column:
     """Lower above upper, or equal and not both inclusive, is empty."""
-    low_inc, up_inc = F.lit(bounds[0] == "["), F.lit(bounds[1] == "]")
-    return _normal(lower, upper, low_inc, up_inc, F.lit(False))
+    return _normal(lower, upper, F.lit(bounds[0] == "["), F.lit(bounds[1] == "]"), F.lit(False))
 
 
 def _normal(lower: Column, upper: Column, low_inc: Column, up_inc: Column, empty: Column) -> Column:
-    none = F.coalesce(lower > upper, F.lit(False)) | F.coalesce((lower == upper) & ~(low_inc & up_inc), F.lit(False)) | empty
-    return F.struct(
-        F.when(~none, lower).alias("lower"), F.when(~none, upper).alias("upper"), (~none & low_inc & lower.isNotNull()).alias("lower_inc"), (~none & up_inc & upper.isNotNull()).alias("upper_inc"), none.alias("empty")
-    )
+    given = F.struct(lower.alias("lower"), upper.alias("upper"), low_inc.alias("low_inc"), up_inc.alias("up_inc"), empty.alias("empty"))
+
+    def told(g: Column) -> Column:
+        lower, upper = g["lower"], g["upper"]
+        none = F.coalesce(lower > upper, F.lit(False)) | F.coalesce((lower == upper) & ~(g["low_inc"] & g["up_inc"]), F.lit(False)) | g["empty"]
+        return F.struct(
+            F.when(~none, lower).alias("lower"), F.when(~none, upper).alias("upper"), (~none & g["low_inc"] & lower.isNotNull()).alias("lower_inc"), (~none & g["up_inc"] & upper.isNotNull()).alias("upper_inc"), none.alias("empty")
+        )
+
+    return _let(given, told)
 
 
 def parse_range(text: Column, kind: str = "bigint") -> Column:
     """``[a,b)``, ``empty``; a blank bound is infinite; null if it is no range."""
-    pattern = r"^\s*([\[(])\s*([^,]*?)\s*,\s*([^,]*?)\s*([\])])\s*$"
-    part = lambda i: F.regexp_extract(text, pattern, i)
-    bound = lambda i: F.when(part(i) != "", part(i)).try_cast(kind)
-    empty = F.lower(F.trim(text)) == "empty"
-    return F.when(text.rlike(pattern) | empty, _normal(bound(2), bound(3), part(1) == "[", part(4) == "]", empty))
+    pattern = r"\A\s*([\[(])\s*([^,]*?)\s*,\s*([^,]*?)\s*([\])])\s*\z"
+
+    def told(t: Column) -> Column:
+        part = lambda i: F.regexp_extract(t, pattern, i)
+        bound = lambda i: F.nullif(part(i), F.lit("")).try_cast(kind)
+        empty = F.lower(F.trim(t)) == "empty"
+        return F.when(t.rlike(pattern) | empty, _normal(bound(2), bound(3), part(1) == "[", part(4) == "]", empty))
+
+    return _let(text, told)
 
 
 def range_text(r: Column) -> Column:
-    body = F.concat(F.when(r["lower_inc"], "[").otherwise("("), F.coalesce(r["lower"].cast("string"), F.lit("")), F.lit(","), F.coalesce(r["upper"].cast("string"), F.lit("")), F.when(r["upper_inc"], "]").otherwise(")"))
-    return F.when(r["empty"], "empty").when(~r["empty"], body)
+    def told(r: Column) -> Column:
+        body = F.concat(F.when(r["lower_inc"], "[").otherwise("("), F.coalesce(r["lower"].cast("string"), F.lit("")), F.lit(","), F.coalesce(r["upper"].cast("string"), F.lit("")), F.when(r["upper_inc"], "]").otherwise(")"))
+        return F.when(r["empty"], "empty").when(~r["empty"], body)
+
+    return _let(r, told)
 
 
+@_of_two
 def range_contains(r: Column, x: Column) -> Column:
     above = r["lower"].isNull() | (x > r["lower"]) | (r["lower_inc"] & (x == r["lower"]))
     below = r["upper"].isNull() | (x < r["upper"]) | (r["upper_inc"] & (x == r["upper"]))
     return ~r["empty"] & above & below
 
 
+@_of_two
 def range_contains_range(a: Column, b: Column) -> Column:
     """False if b is empty; infinite bounds only lie in infinite ones."""
     low = a["lower"].isNull() | F.coalesce((b["lower"] > a["lower"]) | ((b["lower"] == a["lower"]) & (a["lower_inc"] | ~b["lower_inc"])), F.lit(False))
@@ -52,12 +86,14 @@ def range_contains_range(a: Column, b: Column) -> Column:
     return ~a["empty"] & ~b["empty"] & low & up
 
 
+@_of_two
 def range_left(a: Column, b: Column) -> Column:
     """a << b: every value of a is below every value of b."""
     apart = (a["upper"] < b["lower"]) | ((a["upper"] == b["lower"]) & ~(a["upper_inc"] & b["lower_inc"]))
     return ~a["empty"] & ~b["empty"] & F.coalesce(apart, F.lit(False))
 
 
+@_of_two
 def range_compare(a: Column, b: Column) -> Column:
     """-1, 0 or 1: empty first, then by lower bound (infinite first, inclusive before exclusive), then by upper bound (infinite last)."""
     low = lambda r: F.struct(~r["empty"], r["lower"].isNotNull(), r["lower"], ~r["lower_inc"])
@@ -70,16 +106,19 @@ def range_right(a: Column, b: Column) -> Column:
     return range_left(b, a)
 
 
+@_of_two
 def range_overlaps(a: Column, b: Column) -> Column:
     return ~a["empty"] & ~b["empty"] & ~range_left(a, b) & ~range_left(b, a)
 
 
+@_of_two
 def range_adjacent(a: Column, b: Column) -> Column:
     """No value between them and none in both: one bound shared, held by one of them."""
     meet = lambda x, y: F.coalesce((x["upper"] == y["lower"]) & (x["upper_inc"] != y["lower_inc"]), F.lit(False))
     return ~a["empty"] & ~b["empty"] & (meet(a, b) | meet(b, a))
 
 
+@_of_two
 def range_intersection(a: Column, b: Column) -> Column:
     lower = F.when(a["lower"].isNull(), b["lower"]).when(b["lower"].isNull(), a["lower"]).otherwise(F.greatest(a["lower"], b["lower"]))
     upper = F.when(a["upper"].isNull(), b["upper"]).when(b["upper"].isNull(), a["upper"]).otherwise(F.least(a["upper"], b["upper"]))
@@ -87,6 +126,7 @@ def range_intersection(a: Column, b: Column) -> Column:
     return _normal(lower, upper, holds(a, lower, "lower") & holds(b, lower, "lower"), holds(a, upper, "upper") & holds(b, upper, "upper"), a["empty"] | b["empty"])
 
 
+@_of_two
 def range_union(a: Column, b: Column) -> Column:
     """Null if the two neither overlap nor touch."""
     lower = F.when(a["lower"].isNotNull() & b["lower"].isNotNull(), F.least(a["lower"], b["lower"]))
@@ -114,33 +154,57 @@ def mask_length(inet: Column) -> Column:
 
 def _ip4_key(text: Column) -> Column:
     """Eight digits; null unless there are four octets up to 255."""
-    octets = F.transform(F.split(text, r"\."), lambda x: x.try_cast("int"))
-    fine = text.rlike(r"\A\d{1,3}(\.\d{1,3}){3}\z") & F.forall(octets, lambda x: x <= 255)
-    return F.when(fine, F.array_join(F.transform(octets, lambda x: F.lower(F.lpad(F.hex(x.cast("bigint")), 2, "0"))), ""))
+
+    def told(octets: Column) -> Column:
+        fine = (F.size(octets) == 4) & F.forall(octets, lambda x: F.coalesce(x.between(0, 255), F.lit(False)))
+        return F.when(fine, F.array_join(F.transform(octets, lambda x: F.lower(F.lpad(F.hex(x.cast("bigint")), 2, "0"))), ""))
+
+    return F.when(text.rlike(r"\A\d{1,3}(\.\d{1,3}){3}\z"), _let(F.transform(F.split(text, r"\."), lambda x: x.try_cast("int")), told))
 
 
 _MAPPED = "0" * 20 + "f" * 4
+_GROUPS6 = r"\A(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?)\z"
 
 
 def _ip6_key(text: Column) -> Column:
     """32 digits; ``::`` stands for the zero groups that are missing, and the last two groups may be an IPv4 address."""
-    tail = F.regexp_extract(text, r"(\d+\.\d+\.\d+\.\d+)\z", 1)
-    four = _ip4_key(tail)
-    plain = F.when(tail == "", text).otherwise(F.concat(F.left(text, F.length(text) - F.length(tail)), F.substring(four, 1, 4), F.lit(":"), F.substring(four, 5, 4)))
-    sides = F.split(plain, "::")
-    groups = lambda side: F.filter(F.split(F.coalesce(F.try_element_at(sides, F.lit(side)), F.lit("")), ":"), lambda g: g != "")
-    missing = 8 - F.size(groups(1)) - F.size(groups(2))
-    whole = F.concat(groups(1), F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), groups(2))
-    shape = r"\A(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?)\z"
-    fine = plain.rlike(shape) & F.when(plain.contains("::"), missing >= 1).otherwise(F.lit(True))
-    return F.when(fine, F.array_join(F.transform(whole, lambda g: F.lower(F.lpad(g, 4, "0"))), ""))
+
+    def plain(t: Column) -> Column:
+        tail = F.regexp_extract(t, r"(\d+\.\d+\.\d+\.\d+)\z", 1)
+        mixed = _let(tail, lambda four: F.concat(F.left(t, F.length(t) - F.length(four)), F.regexp_replace(_ip4_key(four), r"\A(....)", "$1:")))
+        return F.when(t.contains("."), mixed).otherwise(t)
+
+    def groups(side: Column) -> Column:
+        return F.filter(F.split(F.coalesce(side, F.lit("")), ":"), lambda g: g != "")
+
+    def told(p: Column) -> Column:
+        sides = F.split(p, "::")
+        both = F.struct(groups(F.try_element_at(sides, F.lit(1))).alias("a"), groups(F.try_element_at(sides, F.lit(2))).alias("b"))
+
+        def joined(s: Column) -> Column:
+            missing = 8 - F.size(s["a"]) - F.size(s["b"])
+            whole = F.concat(s["a"], F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), s["b"])
+            fine = F.when(p.contains("::"), missing >= 1).otherwise(F.lit(True))
+            return F.when(fine, F.array_join(F.transform(whole, lambda g: F.lower(F.lpad(g, 4, "0"))), ""))
+
+        return F.when(p.rlike(_GROUPS6), _let(both, joined))
+
+    return _let(_let(text, plain), told)
+
+
+def _length_fits(inet: Column) -> Column:
+    return mask_length(inet).between(0, F.when(is_ip6(inet), 128).otherwise(32))
 
 
 def inet_key(inet: Column) -> Column:
     """32 hexadecimal digits that order and compare addresses; IPv4 as ::ffff:a.b.c.d, null if it is no address."""
-    text = host(inet)
-    key = F.when(is_ip6(text), _ip6_key(text)).otherwise(F.concat(F.lit(_MAPPED), _ip4_key(text)))
-    return F.when(mask_length(inet).between(0, F.when(is_ip6(inet), 128).otherwise(32)), key)
+    key = lambda text: F.when(is_ip6(text), _ip6_key(text)).otherwise(F.concat(F.lit(_MAPPED), _ip4_key(text)))
+    return _let(inet, lambda i: F.when(_length_fits(i), _let(host(i), key)))
+
+
+def _address(inet: Column) -> Column:
+    """What the functions below need of an address or block: key, bits (the prefix length counted in the key), len and ip6."""
+    return F.struct(inet_key(inet).alias("key"), _bits(inet).alias("bits"), mask_length(inet).alias("len"), is_ip6(inet).alias("ip6"))
 
 
 def inet_family(inet: Column) -> Column:
@@ -148,10 +212,15 @@ def inet_family(inet: Column) -> Column:
     return F.when(inet_key(inet).isNotNull(), F.when(is_ip6(inet), 6).otherwise(4))
 
 
+@_of_two
 def inet_compare(a: Column, b: Column) -> Column:
     """-1, 0 or 1: IPv4 before IPv6, then by number."""
-    x, y = F.struct(inet_family(a), inet_key(a)), F.struct(inet_family(b), inet_key(b))
-    return F.when(inet_key(a).isNotNull() & inet_key(b).isNotNull(), F.when(x < y, -1).when(x > y, 1).otherwise(0))
+
+    def told(s: Column) -> Column:
+        x, y = F.struct(s["a"]["ip6"], s["a"]["key"]), F.struct(s["b"]["ip6"], s["b"]["key"])
+        return F.when(s["a"]["key"].isNotNull() & s["b"]["key"].isNotNull(), F.when(x < y, -1).when(x > y, 1).otherwise(0))
+
+    return _let(F.struct(_address(a).alias("a"), _address(b).alias("b")), told)
 
 
 def _bits(inet: Column, length: Column | None = None) -> Column:
@@ -162,57 +231,83 @@ def _bits(inet: Column, length: Column | None = None) -> Column:
 
 def _masked(key: Column, bits: Column, fill: str = "0") -> Column:
     """The first ``bits`` bits of a key, the others 0, or 1 for fill f."""
-    whole, part = F.floor(bits / 4).cast("int"), (bits % 4).cast("int")
-    digit = F.conv(F.substring(key, whole + 1, F.lit(1)), 16, 10).cast("int")
-    mask = F.lit(15).bitwiseAND(F.element_at(F.array(*map(F.lit, (0, 8, 12, 14))), part + 1))
-    cut = digit.bitwiseAND(mask) if fill == "0" else digit.bitwiseOR(F.lit(15) - mask)
-    middle = F.when(part > 0, F.lower(F.hex(cut.cast("bigint")))).otherwise("")
-    return F.rpad(F.concat(F.left(key, whole), middle), 32, fill)
+
+    def told(s: Column) -> Column:
+        whole, part = F.floor(s["n"] / 4).cast("int"), (s["n"] % 4).cast("int")
+        digit = F.conv(F.substring(s["k"], whole + 1, F.lit(1)), 16, 10).cast("int")
+        mask = F.element_at(F.array(*map(F.lit, (0, 8, 12, 14))), part + 1)
+        cut = digit.bitwiseAND(mask) if fill == "0" else digit.bitwiseOR(F.lit(15) - mask)
+        middle = F.when(part > 0, F.lower(F.hex(cut.cast("bigint")))).otherwise("")
+        return F.rpad(F.concat(F.left(s["k"], whole), middle), 32, fill)
+
+    return _let(F.struct(key.alias("k"), bits.alias("n")), told)
 
 
 def key_text(key: Column, ip6: Column) -> Column:
     """A key as text: dotted octets, or groups without leading zeros where the longest run of zero groups (the first of equal ones) is ``::``."""
-    octet = lambda i: F.conv(F.substring(key, i, 2), 16, 10)
-    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substring(key, i * 4 + 1, F.lit(4)), r"\A0{1,3}", ""))
-    joined = F.array_join(groups, ":")
-    short: Column = joined
-    for n in range(2, 9):
-        run = rf"\A(.*?)(?:\A|:)0(?::0){{{n - 1}}}(?:\z|:)(.*)\z"
-        short = F.when(joined.rlike(run), F.regexp_replace(joined, run, "$1::$2")).otherwise(short)
-    four = F.concat_ws(".", *(octet(i) for i in (25, 27, 29, 31)))
-    return F.when(key.isNotNull(), F.when(ip6, short).otherwise(four))
+    runs = F.array(*(F.lit(rf"\A(.*?)(?:\A|:)0(?::0){{{n - 1}}}(?:\z|:)(.*)\z") for n in range(8, 1, -1)))
+
+    def six(k: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substring(k, i * 4 + 1, F.lit(4)), r"\A0{1,3}", ""))
+        return F.aggregate(runs, F.array_join(groups, ":"), lambda text, run: F.when(text.contains("::"), text).otherwise(F.regexp_replace(text, run, F.lit("$1::$2"))))
+
+    def told(s: Column) -> Column:
+        octet = lambda i: F.conv(F.substring(s["k"], i, 2), 16, 10)
+        return F.when(s["k"].isNotNull(), F.when(s["six"], six(s["k"])).otherwise(F.concat_ws(".", *(octet(i) for i in (25, 27, 29, 31)))))
+
+    return _let(F.struct(key.alias("k"), ip6.alias("six")), told)
 
 
 def network(cidr: Column) -> Column:
-    return key_text(_masked(inet_key(cidr), _bits(cidr)), is_ip6(cidr))
+    return _let(_address(cidr), lambda c: key_text(_masked(c["key"], c["bits"]), c["ip6"]))
 
 
 def broadcast_address(cidr: Column) -> Column:
-    return key_text(_masked(inet_key(cidr), _bits(cidr), "f"), is_ip6(cidr))
+    return _let(_address(cidr), lambda c: key_text(_masked(c["key"], c["bits"], "f"), c["ip6"]))
 
 
 def supernet(cidr: Column, length: Column | None = None) -> Column:
     """The block of a shorter prefix that holds it; one bit shorter unless said."""
+
+    def told(s: Column) -> Column:
+        c, n = s["c"], s["n"]
+        return F.when(n <= c["len"], F.concat(key_text(_masked(c["key"], c["bits"] - c["len"] + n), c["ip6"]), F.lit("/"), n))
+
     shorter = F.greatest(mask_length(cidr) - 1, F.lit(0)) if length is None else length
-    return F.when(shorter <= mask_length(cidr), F.concat(key_text(_masked(inet_key(cidr), _bits(cidr, shorter)), is_ip6(cidr)), F.lit("/"), shorter))
+    return _let(F.struct(_address(cidr).alias("c"), shorter.alias("n")), told)
+
+
+def _both_known(a: Column, b: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of two addresses of one family; false across families, null if one is no address."""
+    told = lambda s: F.when(s["a"]["key"].isNotNull() & s["b"]["key"].isNotNull(), (s["a"]["ip6"] == s["b"]["ip6"]) & body(s["a"], s["b"]))
+    return _let(F.struct(_address(a).alias("a"), _address(b).alias("b")), told)
 
 
 def cidr_contains(cidr: Column, inet: Column) -> Column:
     """cidr >> inet (or a smaller block); false across families."""
-    within = _masked(inet_key(cidr), _bits(cidr)) == _masked(inet_key(inet), F.least(_bits(cidr), _bits(inet)))
-    return F.when(inet_key(cidr).isNotNull() & inet_key(inet).isNotNull(), (is_ip6(cidr) == is_ip6(inet)) & (mask_length(inet) >= mask_length(cidr)) & within)
+    return _both_known(cidr, inet, lambda c, i: (i["bits"] >= c["bits"]) & (_masked(c["key"], c["bits"]) == _masked(i["key"], F.least(c["bits"], i["bits"]))))
 
 
 def cidr_overlaps(a: Column, b: Column) -> Column:
-    n = F.least(_bits(a), _bits(b))
-    return F.when(inet_key(a).isNotNull() & inet_key(b).isNotNull(), (is_ip6(a) == is_ip6(b)) & (_masked(inet_key(a), n) == _masked(inet_key(b), n)))
+    def told(x: Column, y: Column) -> Column:
+        n = F.least(x["bits"], y["bits"])
+        return _masked(x["key"], n) == _masked(y["key"], n)
+
+    return _both_known(a, b, told)
 
 
 def _in_any(inet: Column, *blocks: str) -> Column:
-    out = F.lit(False)
-    for block in blocks:
-        out = out | cidr_contains(F.lit(block), inet)
-    return out
+    """Whether an address, whatever its prefix length, lies in one of some fixed blocks."""
+
+    def told(i: Column) -> Column:
+        out = F.lit(False)
+        for net in map(ipaddress.ip_network, blocks):
+            key = net.network_address.packed.hex() if net.version == 6 else _MAPPED + net.network_address.packed.hex()
+            bits = net.prefixlen + (0 if net.version == 6 else 96)
+            out = out | ((i["ip6"] == F.lit(net.version == 6)) & (_masked(i["key"], F.lit(bits)) == key))
+        return F.when(i["key"].isNotNull(), out)
+
+    return _let(_address(inet), told)
 
 
 def is_private(inet: Column) -> Column:
@@ -283,6 +378,7 @@ def mac_is_local(mac: Column) -> Column:
     return F.shiftright(mac_number(mac), 41).bitwiseAND(1) == 1
 
 
+@_of_two
 def mac_compare(a: Column, b: Column) -> Column:
     x, y = mac_number(a), mac_number(b)
     return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
