@@ -22,10 +22,13 @@ some words count only outside articles.  Where all of a page's text is
 boilerplate by names, names don't count.
 
 Wrappers are aligned within tasks first, then over a fixed number of groups of
-tasks, then for the host; a task holds ``HOSTS`` wrappers at most before it
-passes them on.  Of an element's children a wrapper keeps ``CHILDREN`` at most,
-those seen on most pages: it is a model of the host, and text that it doesn't
-mention is read all the same.
+tasks, then for the host, each time in pairs of about as many wrappers, so that
+wide ones are walked a logarithmic number of times; a task passes on what it
+holds at ``HOSTS`` wrappers or ``NODES`` nodes.  A wrapper keeps every child of
+every element, so one task holds all that a host's pages have of different
+structure.  Articles of the region are told by the element they stand in,
+however many shapes they have, and a rule longer than ``ATTACHED`` goes to a file
+of the shared folder that the pages name.
 
 Defined results: null html and null urls are empty; a page without text gives
 an empty text; pages may be of any length and depth; null ids and repeated rows
@@ -46,17 +49,20 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import column_texts, parts, ship, stored, table, taken, wanted
+from basalt.llm.common import column_texts, new_path, parts, ship, stored, table, taken, wanted
 
 STEADY = 8
 HOSTS = 2000
-CHILDREN = 1024
+NODES = 1 << 17
 GROUPS = 32
+#: Characters of a rule that travel with each page of its host.
+ATTACHED = 1 << 16
 #: Longer texts are told apart by a digest.
 LONGEST_TEMPLATE = 200
 #: Rows of siblings are aligned exactly up to this product of their lengths.
@@ -227,11 +233,13 @@ class Page:
                 opened[tag] += 1
         flush()
 
-    def find(self, path: str) -> list[int]:
-        """The nodes at a path of shapes, in page order."""
+    def find(self, path: str, tag: str = "") -> list[int]:
+        """The nodes at a path of shapes, in page order; with ``tag`` their children of that name, whatever else their shape."""
         nodes = [0]
         for shape in path.split("/") if path else ():
             nodes = [x for node in nodes for x in self.items[node] if isinstance(x, int) and self.shape[x] == shape]
+        if tag:
+            nodes = [x for node in nodes for x in self.items[node] if isinstance(x, int) and self.shape[x].split(".")[0] == tag]
         return nodes
 
     def blocks(self, top: int = 0) -> Iterator[tuple[int, str]]:
@@ -386,11 +394,7 @@ def aligned(a: list, b: list) -> list:
         if p < len(a):
             out.append(_both(a[p], b[q]))
         i, j = p + 1, q + 1
-    out = folded(out) if len(out) > max(len(a), len(b)) else out
-    if len(out) <= CHILDREN:
-        return out
-    often = sorted(range(len(out)), key=lambda k: (-(len(out[k][3]) if out[k][0] == "#" else out[k][3]), k))
-    return [out[k] for k in sorted(often[:CHILDREN])]
+    return folded(out) if len(out) > max(len(a), len(b)) else out
 
 
 def merged(a: list, b: list) -> list:
@@ -399,6 +403,36 @@ def merged(a: list, b: list) -> list:
         return _both(a, b)
 
 
+class Pairs:
+    """Wrappers of one host, merged in pairs of about as many: a wide one is walked once for each doubling."""
+
+    def __init__(self):
+        self.held: list[tuple[int, list]] = []
+
+    def add(self, wrapper: list) -> None:
+        n = 1
+        while self.held and self.held[-1][0] <= n:
+            some, before = self.held.pop()
+            n, wrapper = n + some, merged(before, wrapper)
+        self.held.append((n, wrapper))
+
+    def whole(self) -> list:
+        while len(self.held) > 1:
+            n, wrapper = self.held.pop()
+            some, before = self.held.pop()
+            self.held.append((n + some, merged(before, wrapper)))
+        return self.held[0][1]
+
+    def nodes(self) -> int:
+        n, todo = 0, [w for _, w in self.held]
+        while todo:
+            node = todo.pop()
+            n += 1
+            if node[0] != "#":
+                todo += node[4]
+        return n
+
+
 def dumped(wrapper: list) -> str:
     """JSON of the nodes in page order, each with the number of its children: no nesting, whatever the depth."""
     out, todo = [], [wrapper]
@@ -465,8 +499,8 @@ class _Tree:
         return "/".join(reversed(out))
 
 
-def region(wrapper: list) -> tuple[list[str], bool]:
-    """The paths of the main region, and whether articles or main elements made it."""
+def region(wrapper: list) -> tuple[str, str]:
+    """The path of the main region and "", or that of the element it stands in and the name, article or main, that tells it there."""
     tree = _Tree(wrapper)
     found: dict[str, list[int]] = {"article": [], "main": []}
     inner = [False] * len(tree.nodes)  # within an article
@@ -480,14 +514,14 @@ def region(wrapper: list) -> tuple[list[str], bool]:
         if found[tag]:
             best = max(found[tag], key=lambda at: (tree.mass[at], -at))
             if tree.mass[best] or tag == "main":
-                return list(dict.fromkeys(tree.path(at) for at in found[tag] if tree.parent[at] == tree.parent[best])), True
+                return tree.path(tree.parent[best]), tag
     at = 0
     while True:
         some = [x for x in tree.below[at] if tree.nodes[x][0] != "#" and not tree.nodes[x][5]]
         best = max(some, key=lambda x: (tree.mass[x], -x), default=None)
         tag = tree.nodes[best][0].split(".")[0] if best is not None else ""
         if best is None or tag in _HEADINGS or tag == "p" or tree.mass[best] * 5 < tree.mass[at] * 4 or tree.nodes[best][2] or any(tree.titled[x] for x in some if x != best):
-            return [tree.path(at)], False
+            return tree.path(at), ""
         at = best
 
 
@@ -497,12 +531,12 @@ def _step(digest: int, shape: str) -> int:
 
 
 def rule_of(wrapper: list) -> dict:
-    """What extraction needs of a wrapper: the region's paths, and template texts by the digest of their place in it."""
-    paths, told = region(wrapper)
-    if told:
-        return {"region": paths, "template": []}
+    """What extraction needs of a wrapper: the region, and template texts by the digest of their place in it."""
+    path, tag = region(wrapper)
+    if tag:
+        return {"region": [path, tag], "template": []}
     nodes = [wrapper]
-    for shape in paths[0].split("/") if paths[0] else ():
+    for shape in path.split("/") if path else ():
         nodes = [x for node in nodes for x in node[4] if x[0] == shape]
     steady, varies, todo = [], False, [(0, node) for node in nodes]
     while todo:
@@ -515,7 +549,7 @@ def rule_of(wrapper: list) -> dict:
                 varies = True
             elif len(x[3]) >= STEADY:
                 steady.append([at, x[4]])
-    return {"region": paths, "template": sorted(steady) if varies else []}
+    return {"region": [path, ""], "template": sorted(steady) if varies else []}
 
 
 def extract(source: str, rule: dict | None = None) -> str:
@@ -523,9 +557,9 @@ def extract(source: str, rule: dict | None = None) -> str:
     page = Page(source)
 
     def text(rule: dict, names: bool = True) -> list[str]:
-        steady = {tuple(x) for x in rule["template"]}
+        steady = rule["steady"] if "steady" in rule else {tuple(x) for x in rule["template"]}
         out: list[str] = []
-        for top in sorted({x for path in rule["region"] for x in page.find(path)}):
+        for top in page.find(*rule["region"]):
             digest = {top: 0}
 
             def place(at: int) -> int:
@@ -569,39 +603,49 @@ _PARTIAL = "host string, part int, wrapper string"
 
 
 def _aligned_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list] = {}
+    held: dict[str, Pairs] = {}
+    nodes = 0  # those held are no more
     part = TaskContext.get().partitionId() % GROUPS
 
-    def rows() -> pa.RecordBatch:
-        cols = [pa.array(list(held), pa.string()), pa.array([part] * len(held), pa.int32()), pa.array([dumped(w) for w in held.values()], pa.string())]
-        held.clear()
-        return pa.RecordBatch.from_arrays(cols, ["host", "part", "wrapper"])
+    def rows() -> Iterator[pa.RecordBatch]:
+        while held:
+            hosts, data, size = [], [], 0
+            while held and size < 1 << 20:
+                host, pairs = held.popitem()
+                hosts.append(host)
+                data.append(dumped(pairs.whole()))
+                size += len(data[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([part] * len(hosts), pa.int32()), pa.array(data, pa.string())], ["host", "part", "wrapper"])
 
     for batch in batches:
         for host, source in zip(column_texts(batch, "host"), column_texts(batch, "html"), strict=True):
-            new = wrapper_of(Page(source))
-            held[host] = merged(held[host], new) if host in held else new
-            if len(held) >= HOSTS:
-                yield rows()
-    yield rows()
+            page = Page(source)
+            held.setdefault(host, Pairs()).add(wrapper_of(page))
+            nodes += sum(map(len, page.items)) + 1
+            full = len(held) >= HOSTS
+            if nodes >= NODES:
+                nodes = sum(pairs.nodes() for pairs in held.values())
+                full |= 2 * nodes >= NODES
+            if full:
+                yield from rows()
+                nodes = 0
+    yield from rows()
 
 
 def _aligned_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by host and group: one wrapper for each."""
-    at, now = None, None
+    at, now = None, Pairs()
 
     def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([at[1]], pa.int32()), pa.array([dumped(now)])], ["host", "part", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([at[1]], pa.int32()), pa.array([dumped(now.whole())])], ["host", "part", "wrapper"])
 
     for batch in batches:
-        for host, part, data in zip(*(taken(batch, c).to_pylist() for c in ("host", "part", "wrapper")), strict=True):
-            new = loaded(data)
-            if (host, part) == at:
-                now = merged(now, new)
-            else:
+        for host, part, data in zip(*(taken(batch, c) for c in ("host", "part", "wrapper")), strict=True):
+            if (host.as_py(), part.as_py()) != at:
                 if at:
                     yield row()
-                at, now = (host, part), new
+                at, now = (host.as_py(), part.as_py()), Pairs()
+            now.add(loaded(data.as_py()))
     if at:
         yield row()
 
@@ -618,10 +662,37 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return some.select("host", "wrapper")
 
 
-def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data = [json.dumps(rule_of(loaded(w))) for w in taken(batch, "wrapper").to_pylist()]
-        yield pa.RecordBatch.from_arrays([taken(batch, "host"), pa.array(data, pa.string())], ["of", "rule"])
+def _at(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+
+
+def _rules(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        files = 0
+        for batch in batches:
+            for host, wrapper in zip(taken(batch, "host"), taken(batch, "wrapper"), strict=True):
+                data = json.dumps(rule_of(loaded(wrapper.as_py())))
+                if len(data) > ATTACHED:
+                    name = f"rule-{task.taskAttemptId()}-{files}.json"
+                    files += 1
+                    fs, base = _at(folder)
+                    fs.create_dir(base, recursive=True)
+                    with fs.open_output_stream(f"{base}/{name}") as f:
+                        f.write(data.encode())
+                    data = json.dumps({"file": f"{folder}/{name}"})
+                yield pa.RecordBatch.from_arrays([pa.array([host.as_py()]), pa.array([data])], ["of", "rule"])
+
+    return run
+
+
+def _rule(data: str) -> dict:
+    rule = json.loads(data)
+    if "file" in rule:
+        fs, path = _at(rule["file"])
+        with fs.open_input_stream(path) as f:
+            rule = json.loads(f.read())
+    return rule | {"steady": {tuple(x) for x in rule["template"]}}
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -632,7 +703,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if rule is not None and rule not in known:
                 if len(known) >= HOSTS:
                     known.clear()
-                known[rule] = json.loads(rule)
+                known[rule] = _rule(rule)
             texts.append(extract(source, known.get(rule)))
         yield pa.RecordBatch.from_arrays([taken(batch, "page_id"), taken(batch, "url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
@@ -643,7 +714,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     The rules are a small stored table; Spark broadcasts it if its size allows,
     else it is joined by host, and the pages of a frequent host are split.
     """
-    rules, _ = stored(wrappers(pages).mapInArrow(_rules, "of string, rule string"), "rules")
+    rules, _ = stored(wrappers(pages).mapInArrow(_rules(new_path(pages.sparkSession, "long-rules")), "of string, rule string"), "rules")
     rows = wanted(pages, page_id="bigint", url="string", html="string").withColumn("host", host_of("url"))
     both = rows.join(rules, F.col("host") == F.col("of"), "left").select("page_id", "url", "html", "rule")
     return both.mapInArrow(_extracted, "page_id bigint, url string, text string, n_chars bigint")

@@ -59,6 +59,24 @@ def test_wide_pages():
     assert wrappers.extract(long).count("word") == 30_000
 
 
+def name(i):
+    return "k" + "".join(chr(97 + i // 26**d % 26) for d in range(3))
+
+
+def test_every_child_of_a_host_counts():
+    page = lambda i: "<body><div class=wrap>" + "".join(f"<p class={name(k)}>Standing {k}</p>" for k in range(1500)) + f"<div><p>Body {i} of words</p></div></div></body>"
+    assert wrappers.extract(page(3), rule(*map(page, range(9)))) == "Body 3 of words"
+
+
+def test_hosts_of_many_shapes(spark):
+    # each page names its article, its body text's place and some standing lines in its own way
+    articles = [(i, "http://a.b/", f"<body><div class=side>x</div><article class={name(i)}><p>Text {i}</p></article></body>") for i in range(1500)]
+    lines = "".join(f"<p class={name(k)}>{'Standing ' * 4}{k}</p>" for k in range(2500))
+    plain = [(i, "http://c.d/", f"<body><div class=wrap>{lines}<div><p>Body {i} of words</p></div></div></body>") for i in range(2000, 2012)]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(spark.createDataFrame(articles + plain, "page_id bigint, url string, html string").repartition(4)).collect()}
+    assert got == {i: f"Text {i}" for i in range(1500)} | {i: f"Body {i} of words" for i in range(2000, 2012)}
+
+
 def test_matching():
     import random
 
