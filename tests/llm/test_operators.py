@@ -108,6 +108,36 @@ def test_tokens_equal_the_library(rows):
         assert np.frombuffer(own.encode(t or ""), "<u4").tolist() == [*whole.encode(t or "", add_special_tokens=False).ids, 2]
 
 
+def test_tokens_of_random_texts_equal_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    own, whole, rnd = tokenizer(vocabulary_path()), Tokenizer.from_file(vocabulary_path()), random.Random(7)
+    some = ["'"] * 4 + [*"  strevmld.,!\"-\n\t09²½ªµßéÉÿÞ×÷\x85\xa0\x00\x7f", "'s", "'ll", "'re's", "<|", "word", "Word's"]
+    for rare in ([], ["\x1c", "日本", "e\u0301", "<|endoftext|>", "\u2003", "’", "\U0001f600"]):
+        texts = ["".join(rnd.choice(rare) if rare and rnd.random() < 0.05 else rnd.choice(some) for _ in range(rnd.randint(0, 60))) for _ in range(1500)]
+        want = [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == want
+        monkeypatch.setattr("basalt.llm.tokens.BATCH_CHARS", 20)
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts)] == want
+        monkeypatch.undo()
+
+
+def test_tokens_are_looked_up_once_a_batch():
+    from basalt.llm.tokens import WordTokenizer
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+    own = WordTokenizer(vocabulary_path())
+    own.now = Counted()
+    assert len(list(own.encode_all(["The same words, again and again. " * 1000] * 5))) == 5
+    assert Counted.asked < 100
+
+
 def test_bit_packing(docs, none, rows):
     for width in (1, 5, 15, 16, 17, 32):
         ids = np.random.default_rng(width).integers(0, 1 << width, 1001).astype(np.uint32)
