@@ -138,6 +138,31 @@ def test_tokens_are_looked_up_once_a_batch():
     assert Counted.asked < 100
 
 
+def test_packing_looks_tokens_up_once_a_batch(monkeypatch):
+    import pyarrow as pa
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 3)  # noqa: N815
+
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    monkeypatch.setattr(tokenizer(vocabulary_path()), "now", Counted())
+    text = "The same words, again and again. " * 1000
+    batch = pa.record_batch([pa.array([1, 2, None], pa.int64()), pa.array([text, None, text])], ["doc_id", "text"])
+    rows = pa.Table.from_batches(list(packing._cut(vocabulary_path())(iter([batch])))).to_pylist()
+    assert [(r["doc_id"], r["start"], r["length"], r["doc_tokens"], r["part"], r["rank"]) for r in rows] == [
+        (1, 0, 4096, 8001, 3, 0), (1, 4096, 3905, 8001, 3, 0), (2, 0, 1, 1, 3, 0), (None, 0, 4096, 8001, 3, 1), (None, 4096, 3905, 8001, 3, 1)
+    ]
+    assert Counted.asked < 100
+
+
 def test_bit_packing(docs, none, rows):
     for width in (1, 5, 15, 16, 17, 32):
         ids = np.random.default_rng(width).integers(0, 1 << width, 1001).astype(np.uint32)
