@@ -3,17 +3,19 @@
 Materialised tables go to the shared folder that the session names in
 ``spark.checkpoint.dir``; only where that is unset on one machine (tests,
 notebooks) a temporary folder is set.  Text columns travel as Arrow batches, and every
-helper turns a null text into empty bytes.
+helper turns a null text into empty bytes.  Python workers outlive their tasks, so
+what a task has freed goes back to the system at its end (``lean``).
 """
 
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -97,6 +99,32 @@ def column_texts(batch: pa.RecordBatch, name: str) -> Iterator[str]:
             yield x or ""
 
 
+def few(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch a few rows at a time, so that what is made of them is sent on before the next."""
+    for i in range(0, batch.num_rows, _SLICE):
+        yield batch.slice(i, _SLICE)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, which the allocators of Arrow and of the C library (glibc) else keep."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow; at the end of a task its worker gives memory back."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def taken(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

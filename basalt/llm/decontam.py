@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import column_bytes, column_texts, new_path, parts, ship, stored, table, taken, wanted
+from basalt.llm.common import column_bytes, column_texts, lean, new_path, parts, ship, stored, table, taken, wanted
 
 WINDOW = 13
 #: A document is contaminated from one hit word in so many.
@@ -275,7 +275,7 @@ class Automata:
                     self._held[path] = Automaton.load(f.read())
             yield self._held[path]
 
-    def slices(self, texts: list) -> Iterator[list]:
+    def slices(self, texts: list | pa.RecordBatch) -> Iterator:
         """Few texts at a time for a single automaton; else a whole batch goes through each before the next is loaded."""
         size = _SLICE if len(self.files) <= 1 else max(1, len(texts))
         for i in range(0, len(texts), size):
@@ -378,17 +378,18 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            old = taken(batch, "text").to_pylist()
-            new = [x for some in found.slices(list(column_bytes(batch, "text"))) for x in cleaned(some, found)]
-            keep = [x is not None for x in new]
-            texts = [None if value is None or x is None else x.decode() for value, x in zip(old, new, strict=True)]
-            cols = {n: taken(batch, n) for n in names}
-            cols["text"] = pa.array(texts, pa.string())
-            if "n_chars" in cols:
-                cols["n_chars"] = pa.array([len(x) if x is not None else n for x, n in zip(texts, taken(batch, "n_chars").to_pylist(), strict=True)], taken(batch, "n_chars").type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols)).filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            for some in found.slices(batch):
+                old = taken(some, "text").to_pylist()
+                new = cleaned(list(column_bytes(some, "text")), found)
+                keep = [x is not None for x in new]
+                texts = [None if value is None or x is None else x.decode() for value, x in zip(old, new, strict=True)]
+                cols = {n: taken(some, n) for n in names}
+                cols["text"] = pa.array(texts, pa.string())
+                if "n_chars" in cols:
+                    cols["n_chars"] = pa.array([len(x) if x is not None else n for x, n in zip(texts, taken(some, "n_chars").to_pylist(), strict=True)], taken(some, "n_chars").type)
+                yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols)).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op5_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

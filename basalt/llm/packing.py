@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from basalt.llm.common import column_texts, ship, stored, table, taken, wanted
+from basalt.llm.common import column_texts, lean, ship, stored, table, taken, wanted
 from basalt.llm.tokens import tokenizer, vocabulary_path
 
 LENGTH = 4096
@@ -75,16 +75,19 @@ def plan(histogram: dict[int, int], capacity: int = LENGTH) -> np.ndarray:
 def _cut(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen, encode = TaskContext.get().partitionId(), Counter(), tokenizer(vocabulary)
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, ids in zip(taken(batch, "doc_id").to_pylist(), encode.encode_all(column_texts(batch, "text")), strict=True):
-                n = len(ids) // 4
-                for start in range(0, n, LENGTH):
-                    size = min(LENGTH, n - start)
-                    rows.append((doc_id, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n, part, seen[size]))
-                    seen[size] += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"])
+        try:
+            for batch in batches:
+                rows: list[tuple] = []
+                for doc_id, ids in zip(taken(batch, "doc_id").to_pylist(), encode.encode_all(column_texts(batch, "text")), strict=True):
+                    n = len(ids) // 4
+                    for start in range(0, n, LENGTH):
+                        size = min(LENGTH, n - start)
+                        rows.append((doc_id, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n, part, seen[size]))
+                        seen[size] += 1
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"])
+        finally:
+            encode.forget()
 
     return run
 
@@ -106,7 +109,7 @@ def pack_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     ship(spark)
-    pieces, _ = stored(wanted(docs, doc_id="bigint", text="string").mapInArrow(_cut(vocabulary), _PIECES), "pieces")
+    pieces, _ = stored(wanted(docs, doc_id="bigint", text="string").mapInArrow(lean(_cut(vocabulary)), _PIECES), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     placements = spark.sparkContext.broadcast(plan(histogram))

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import column_bytes, ship, table, taken, wanted
+from basalt.llm.common import column_bytes, few, lean, ship, table, taken, wanted
 
 SAMPLE = 12_000
 THRESHOLD = 0.3
@@ -207,10 +207,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     once = known.groupBy("doc_id").agg(F.max("quality").alias("y"))
     some = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = wanted(docs, doc_id="bigint", text="string").join(F.broadcast(some), "doc_id")  # SAMPLE rows of two numbers
-    found = rows.mapInArrow(_featured, "doc_id bigint, y int, mark binary, found binary")
+    found = rows.mapInArrow(lean(_featured), "doc_id bigint, y int, mark binary, found binary")
     least = found.groupBy("doc_id", "y").agg(F.min(F.struct("mark", "found")).alias("least")).select("doc_id", "y", "least.found")
     one = least.repartition(1).sortWithinPartitions("doc_id")
-    r = one.mapInArrow(_fitted, "ratio binary, weight binary, bias double, slope double, shift double").first()
+    r = one.mapInArrow(lean(_fitted), "ratio binary, weight binary, bias double, slope double, shift double").first()
     return Model(np.frombuffer(r["ratio"], "<f8"), np.frombuffer(r["weight"], "<f8"), r["bias"], r["slope"], r["shift"])
 
 
@@ -234,9 +234,10 @@ def kept(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([shared.value.score(features(x)) >= THRESHOLD for x in column_bytes(batch, "text")], pa.bool_()))
+            for some in few(batch):
+                yield some.filter(pa.array([shared.value.score(features(x)) >= THRESHOLD for x in column_bytes(some, "text")], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op3_naive_bayes_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from basalt.llm.automata import Dfa, any_case
-from basalt.llm.common import column_bytes, ship, table, taken, wanted
+from basalt.llm.common import column_bytes, few, lean, ship, table, taken, wanted
 
 # The hex rule is [0-9a-f]+ with 24 characters at least: runs of under eight, which can't pass, never accept.
 # The rules' names and patterns, in the order of their kinds, and the length that a match needs.
@@ -154,14 +154,15 @@ def redacted(docs: DataFrame, rules: list[tuple[str, str, int]] = RULES) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = shared.value
         for batch in batches:
-            texts = [masked(scanner, x) if x else x for x in taken(batch, "text").to_pylist()]
-            cols = {n: taken(batch, n) for n in names}
-            cols["text"] = pa.array(texts, pa.string())
-            if "n_chars" in cols:
-                cols["n_chars"] = pa.array([len(x) if x is not None else old for x, old in zip(texts, taken(batch, "n_chars").to_pylist(), strict=True)], taken(batch, "n_chars").type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-
-    return docs.mapInArrow(run, docs.schema)
+            for some in few(batch):
+                texts = [masked(scanner, x) if x else x for x in taken(some, "text").to_pylist()]
+                cols = {n: taken(some, n) for n in names}
+                cols["text"] = pa.array(texts, pa.string())
+                if "n_chars" in cols:
+                    cols["n_chars"] = pa.array([len(x) if x is not None else old for x, old in zip(texts, taken(some, "n_chars").to_pylist(), strict=True)], taken(some, "n_chars").type)
+                yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op7_combined_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm.common import column_bytes, parts, ship, stored, table, taken, text_key, wanted
+from basalt.llm.common import column_bytes, lean, parts, ship, stored, table, taken, text_key, wanted
 from basalt.llm.components import components
 from basalt.names import free
 
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, fp): the fingerprint as a signed long."""
     ship(docs.sparkSession)
     rows = wanted(docs, doc_id="bigint", text="string").withColumn("text_key", text_key())
-    return rows.mapInArrow(_print_batches, "doc_id bigint, text_key bigint, fp bigint")
+    return rows.mapInArrow(lean(_print_batches), "doc_id bigint, text_key bigint, fp bigint")
 
 
 def ring_keys(fp: str) -> list:
@@ -179,7 +179,7 @@ def links(prints: DataFrame) -> DataFrame:
     dealt = met.select("k", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("other"))
     dealt = dealt.select("k", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp")
     dealt = dealt.repartition(parts(prints.sparkSession), "k", "p", "q").sortWithinPartitions("k", "p", "q")
-    return dealt.mapInArrow(_link_batches, "a bigint, b bigint")
+    return dealt.mapInArrow(lean(_link_batches), "a bigint, b bigint")
 
 
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -232,6 +232,10 @@ class WordTokenizer:
         if held:
             yield from self._batch(held)
 
+    def forget(self) -> None:
+        """Empties the table; ids don't depend on it."""
+        self.now, self.old = {}, {}
+
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))
 
