@@ -589,13 +589,17 @@ def phraseto_tsquery(text: str) -> TsQuery:
 
 
 def ts_matches(vector: Column, query: TsQuery) -> Column:
+    return _let(vector, lambda v: _matched(v, query))
+
+
+def _matched(vector: Column, query: TsQuery) -> Column:
     def places(t) -> Column:
+        """Each operand once and by a hash set: the work grows with the text, not with its hits squared."""
         if isinstance(t, str):
             return _positions(vector, t)
         if t[0] != "<>":
             raise ValueError("a phrase is made of words")
-        ahead = places(t[1])
-        return F.filter(places(t[2]), lambda p: F.array_contains(ahead, p - t[3]))
+        return F.array_intersect(places(t[2]), F.transform(places(t[1]), lambda p: p + t[3]))
 
     def holds(t) -> Column:
         if isinstance(t, str):
