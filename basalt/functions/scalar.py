@@ -288,7 +288,14 @@ def parse_datetime(text: Column, pattern: str, today: Column | None = None) -> C
         regex += (digits | words).get(v, r"(\d{1,2})")
         at["half" if v.strip("AP.") == "M" or v in ("A.M.", "P.M.") else "FF" if v.startswith("FF") else v] = len(at) + 1
     regex += r"\s*\z"
-    raw = lambda p: F.regexp_extract(text, regex, at[p])
+    # one match for all parts, each a lambda variable: every regexp_extract would match the whole text again
+    parts = F.when(text.rlike(regex), F.split(F.regexp_replace(text, regex, "\x01".join(f"${n}" for n in range(1, max(at.values(), default=0) + 1))), "\x01"))
+    return F.element_at(F.transform(F.array(parts), lambda found: F.when(found.isNotNull(), _moment(found, at, today))), 1)
+
+
+def _moment(found: Column, at: dict[str, int], today: Column) -> Column:
+    """The time that the parts of a text name; ``at`` has the place of each."""
+    raw = lambda p: F.element_at(found, at[p])
     number = lambda p: raw(p).try_cast("int")
     now, year = F.year(today), F.year(today)
     for name, size in (("YEAR", 10_000), ("YYYY", 10_000), ("YYY", 1000), ("YY", 100), ("Y", 10)):
@@ -316,12 +323,11 @@ def parse_datetime(text: Column, pattern: str, today: Column | None = None) -> C
     micros = F.rpad(raw("FF"), 6, "0").try_cast("int") if "FF" in at else F.lit(0)
     out = F.try_make_timestamp_ntz(year, month, day, hour, minute, second.cast("decimal(16,6)") + micros.cast("decimal(16,6)") / 1_000_000)
     if "TZR" in at:
-        named = F.convert_timezone(F.when(raw("TZR") == "", "UTC").otherwise(raw("TZR")), F.lit("UTC"), out)
-        out = F.when(text.rlike(regex), named)
-    elif "TZH" in at:
+        return F.convert_timezone(raw("TZR"), F.lit("UTC"), out)
+    if "TZH" in at:
         minutes = number("TZH") * 60 + (F.when(raw("TZH").startswith("-"), -1).otherwise(1) * number("TZM") if "TZM" in at else F.lit(0))
         out = out - F.make_dt_interval(mins=minutes)
-    return F.when(text.rlike(regex), out)
+    return out
 
 
 def _without(entries: Column, others: Column) -> Column:

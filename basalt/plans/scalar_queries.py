@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from basalt.functions import routines, scalar
 from basalt.operators import relational
 from basalt.plans.registry import both, pair
-from basalt.sources import read_table
+from basalt.sources import read_table, spread
 
 # --- text
 
@@ -161,7 +161,7 @@ def fn_cast_from_format(spark, sf_dir):
     put = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     parse = lambda t, p, today="2023-06-15": scalar.parse_datetime(t, p, F.lit(today).cast("date"))
     julian = (F.datediff(d, F.lit("1970-01-01").cast("date")) + 2440588).cast("string")
-    return read_table(spark, sf_dir, "orders").select(
+    return spread(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")).select(
         "o_orderkey", parse(text("dd.MM.yy"), "DD.MM.RR").alias("rr"), parse(put(text("MMM dd yyyy"), " 01:07 p.m."), "MON DD YYYY HH12:MI A.M.").alias("half"), parse(julian, "J").alias("julian"),
         parse(put(text("yyyyMMdd"), " 3723"), "YYYYMMDD SSSSS").alias("sec"), parse(scalar.format_datetime(d, "DD-RM-YEAR"), "DD-RM-YEAR").alias("roman"), parse(put(text("MMMM/d/yyyy"), " 00:00:00.5"), "MONTH/DD/YEAR HH24:MI:SS.FF4").alias("frac"),
         parse(put(F.right(text("yyyy"), F.lit(1)), text(" dd")), "Y DD", "2055-01-31").alias("short"), parse(put(text("dd.MM.yyyy"), "\nx"), "DD.MM.YYYY").alias("bad"),
@@ -173,7 +173,7 @@ def fn_cast_from_format_zone(spark, sf_dir):
     d = F.col("ts")
     wall = F.date_format(d, "yyyy-MM-dd HH:mm:ss")
     pattern = "YYYY-MM-DD HH24:MI:SS "
-    return read_table(spark, sf_dir, "events").select(
+    return spread(read_table(spark, sf_dir, "events").select("event_id", "ts")).select(
         "event_id", scalar.parse_datetime(F.concat(wall, F.lit(" +02:30")), pattern + "TZH:TZM").alias("offset_"),
         scalar.parse_datetime(F.concat(F.date_format(scalar.in_zone(d, "Asia/Kathmandu"), "yyyy-MM-dd HH:mm:ss"), F.lit(" Asia/Kathmandu")), pattern + "TZR").alias("named"),
         scalar.parse_datetime(F.concat(wall, F.lit(" -1:30")), pattern + "TZH:TZM").alias("minus"),

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from basalt.functions import types
+from basalt.functions import scalar, types
 from basalt.operators import relational
 from basalt.plans.catalogue import QUERIES, SQL
 
@@ -68,3 +68,14 @@ def test_the_sketch_is_apart_from_the_exact_count(spark):
     keys = [line for line in plan.splitlines() if "HashAggregate" in line and "l_orderkey" in line.split("functions=")[0]]
     assert keys and not any("approx_count_distinct" in line for line in keys)
     assert "approx_count_distinct" in plan
+
+
+@pytest.mark.parametrize("name", ["inet_functions", "fn_cast_from_format_zone"])
+def test_long_expressions_run_on_all_cores(spark, name):
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 8
+
+
+def test_parts_of_a_time_are_matched_once(spark):
+    df = spark.createDataFrame([("2023-05-06 07:08 +02:30",), ("2023-05-06 07:08",), ("\x01",), (None,)], "t string").select(scalar.parse_datetime(F.col("t"), "YYYY-MM-DD HH24:MI TZH:TZM").alias("p"))
+    assert [str(r["p"]) for r in df.collect()] == ["2023-05-06 04:38:00", "None", "None", "None"]
+    assert "regexp_extract" not in df._jdf.queryExecution().optimizedPlan().toString()
